@@ -19,6 +19,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 #: Words of a source's budget that are left to the knapsack, at least.
 KNAPSACK_WORDS = 1 << 16
+#: Documents of each length that the knapsack may decide anew.
+GIVEN_BACK = 8
 #: Documents of one source and length that are ordered together.
 GROUP_ROWS = 10_000
 
@@ -51,8 +53,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
 def fit(lengths: list[int], counts: list[int], budget: int, knapsack_words: int = KNAPSACK_WORDS) -> list[int]:
     """How many documents of each length to take so that their words come as near `budget` as they can, not above.
 
-    Every length gives its share first. Long lengths then fill down to `knapsack_words`, and bounded
-    knapsack dynamic programming over the counts left finds the best sum below that.
+    Every length gives its share first, but for a few documents. Long lengths then fill down to
+    `knapsack_words`, and bounded knapsack dynamic programming over the counts left finds the best
+    sum below that.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -65,6 +68,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, knapsack_words: int
             more = min(counts[i] - took[i], (rest - knapsack_words) // lengths[i])
             took[i] += more
             rest -= more * lengths[i]
+    for i in reversed(order):  # a few short documents of each length back, so that the knapsack has room
+        back = max(0, min(took[i], GIVEN_BACK, (knapsack_words - rest) // lengths[i]))
+        took[i] -= back
+        rest += back * lengths[i]
     # bit w of reach: a sum of w words can be had; grown[k]: the bits that the k-th item added
     reach, mask, grown = 1, (1 << (rest + 1)) - 1, []
     for i in order:
