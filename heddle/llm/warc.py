@@ -52,12 +52,12 @@ def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data: bytes) -> tuple[dict, bytes, int] | None:
-    """(headers, block, bytes used) of the record at the start of `data`; None if its checks fail."""
-    if not data.startswith(_VERSION) or (end := data.find(b"\r\n\r\n")) < 0:
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
+    """(headers, block, end) of the record that starts at `at`; None if its checks fail."""
+    if not data.startswith(_VERSION, at) or (end := data.find(b"\r\n\r\n", at)) < 0:
         return None
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -98,8 +98,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes]]:
         if data.startswith(_GZIP, at):
             got = _member(data, at)
         elif data.startswith(_VERSION, at):
-            got = parse_record(data[at:]) if gap is not None else parse_record(memoryview(data)[at:].tobytes())
-            got = got and (got[0], got[1], at + got[2])
+            got = parse_record(data, at)
         if got is None:
             gap = at if gap is None else gap
             nexts = [x for x in (data.find(_GZIP, at + 1), data.find(_VERSION, at + 1)) if x >= 0]
