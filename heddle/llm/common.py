@@ -54,7 +54,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[StructField],
     """`df` with `fields` appended, computed from the columns `inputs` one Arrow batch at a time.
 
     `make()` runs once in each task and returns a function from the lists of a batch's inputs to one
-    list for each field. Columns of `df` pass through as they are; a field whose name `df` has takes its place.
+    list or Arrow array for each field. Columns of `df` pass through as they are; a field whose name `df` has takes its place.
     """
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
@@ -69,7 +69,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[StructField],
         f = make()
         for b in batches:
             out = f(*[b.column(i).to_pylist() for i in places])
-            made = [pa.array(list(v), t.type) for v, t in zip(out, arrow, strict=True)]
+            made = [v if isinstance(v, pa.Array) else pa.array(list(v), t.type) for v, t in zip(out, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + made, names=[x.name for x in kept] + arrow.names)
 
     return df.mapInArrow(run, schema)

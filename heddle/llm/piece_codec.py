@@ -10,15 +10,19 @@ pairs of arcs: 0 if merging the two pieces' characters by rank gives back these
 infinite, so the one path of finite weight is the encoding. Removing the last piece of an encoding
 leaves the encoding of what is before it, so each position has one such path and the search keeps one state.
 
-Texts are cut before characters that only begin pieces (as spaces do), which no piece and so no
-path crosses; each part's path is remembered.
+Texts are cut before runs of spaces, and such parts again where a run of letters and digits meets
+other characters, if the two are neighbours in no piece: no arc, and so no path, crosses these places.
+Each part's path is remembered.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
@@ -26,17 +30,43 @@ from heddle.llm.common import append_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts whose paths a task remembers; then it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Parts and pieces of parts whose paths a worker remembers: twice as many, the older half of which goes when the newer is full.
+REMEMBERED_PARTS, REMEMBERED = 200_000, 300_000
 #: Likewise pairs of pieces whose weight it remembers.
 REMEMBERED_PAIRS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+_RUNS = re.compile(r"\w+|\W+")
+
+
+class Recent:
+    """A bounded memory: entries that are used again move to the newer half."""
+
+    __slots__ = ("new", "old", "size")
+
+    def __init__(self, size: int):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = size
+
+    def find(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Transducer:
     """A compiled model: `encode` and `decode`."""
 
     def __init__(self, model: bytes):
+        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -55,23 +85,17 @@ class Transducer:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.id_bytes = {i: b for b, i in self.byte_ids.items()}
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.longest = max(map(len, self.lexicon), default=1)
-        inner = {c for p in self.lexicon for c in p[1:]}
-        # a part starts where a character that is never inside a piece follows one that isn't its like
-        self.covered = {c for p in self.lexicon for c in p}
-        self.starts = self.covered - inner - {SPACE}
+        self.neighbours = {p[i : i + 2] for p in self.lexicon for i in range(len(p) - 1)}
         self.space_starts = not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
         self.low = min(self.scores, default=0.0) - 10.0
-        self.paths: dict[str, list[int]] = {}
+        self.whole = Recent(REMEMBERED_PARTS)  # parts' ids as 32-bit numbers
+        self.paths = Recent(REMEMBERED)  # the same of parts cut again
+        self.unlike: set[str] = set()  # parts that don't decode to themselves
         self.pairs: dict[tuple[int, int], bool] = {}
-        # every piece that is a suffix of another: the lexicon's arcs by last character
-        self.suffixes: dict[str, list[int]] = {}
-        for p in self.lexicon:
-            sizes = self.suffixes.setdefault(p[-1], [])
-            if len(p) not in sizes:
-                sizes.append(len(p))
-        for sizes in self.suffixes.values():
-            sizes.sort(reverse=True)
+        self.arcs = ahocorasick.Automaton()  # all arcs that end at a position, longest first
+        for p, i in self.lexicon.items():
+            self.arcs.add_word(p, (i, len(p)))
+        self.arcs.make_automaton()
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.space_starts else None
 
     def normalise(self, text: str) -> str:
@@ -112,36 +136,28 @@ class Transducer:
     def _path(self, part: str) -> list[int]:
         """The shortest path over one part's lattice."""
         n = len(part)
-        weight: list[float] = [0.0] * (n + 1)
-        last: list[int] = [-1] * (n + 1)  # the arc that reaches a position: a piece's id; -2 byte fallback
-        size = [0] * (n + 1)
-        get, pairs = self.lexicon.get, self.pairs
-        for i in range(1, n + 1):
-            c = part[i - 1]
-            sizes = self.suffixes.get(c)
-            if self.unigram:
-                best, arc, long = weight[i - 1] - self.low, -2, 1
-                for m in sizes or ():
-                    if m <= i and (p := get(part[i - m : i])) is not None:
-                        w = weight[i - m] - (self.scores[p] if self.kinds[p] != USER else 0.1 - m * 100)
-                        if w < best:
-                            best, arc, long = w, p, m
-                weight[i], last[i], size[i] = best, arc, long
-                continue
-            arc, long = -2, 1
-            for m in sizes or ():
-                if m <= i and (p := get(part[i - m : i])) is not None:
-                    before = last[i - m]
-                    if before < 0:
-                        ok = m == 1 or self._alone(p)
-                    else:
-                        ok = pairs.get((before, p))
-                        if ok is None:
-                            ok = self._pair(before, p)
-                    if ok:
-                        arc, long = p, m
-                        break
-            last[i], size[i] = arc, long
+        last = [-2] * (n + 1)  # the arc that reaches a position: a piece's id; -2 byte fallback
+        last[0] = -1
+        size = [1] * (n + 1)
+        if self.unigram:
+            weight = [k * -self.low for k in range(n + 1)]
+            done = 0
+            for end, (p, m) in self.arcs.iter(part):
+                while done <= end:  # fallback arcs up to here
+                    done += 1
+                    weight[done] = min(weight[done], weight[done - 1] - self.low)
+                w = weight[end + 1 - m] - (self.scores[p] if self.kinds[p] != USER else 0.1 - m * 100)
+                if w < weight[end + 1]:
+                    weight[end + 1], last[end + 1], size[end + 1] = w, p, m
+        else:
+            known = self.pairs.get
+            for end, (p, m) in self.arcs.iter(part):
+                if last[end + 1] != -2:
+                    continue
+                before = last[end + 1 - m]
+                ok = known((before, p)) if before >= 0 else m == 1 or self._alone(p)
+                if ok or ok is None and self._pair(before, p):
+                    last[end + 1], size[end + 1] = p, m
         out: list[int] = []
         i = n
         while i:
@@ -157,26 +173,65 @@ class Transducer:
             ok = self.pairs[-1, p] = self._merged(self.pieces[p], "") == [self.pieces[p]]
         return ok
 
-    def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        out: list[int] = []
-        text = self.normalise(text)
-        for part in self.cut.findall(text) if self.cut else [text]:
-            ids = self.paths.get(part)
-            if ids is None:
-                ids = self._path(part)
-                if len(self.paths) >= REMEMBERED:
-                    self.paths.clear()
-                if len(part) <= 64:
-                    self.paths[part] = ids
-            out += ids
+    def _cut_again(self, part: str) -> list[str]:
+        first, *rest = _RUNS.findall(part)
+        if not rest:
+            return [part]
+        out = [first]
+        for run in rest:
+            if out[-1][-1] + run[0] in self.neighbours:
+                out[-1] += run
+            else:
+                out.append(run)
         return out
 
+    def _ids_of(self, part: str) -> bytes:
+        """A part's ids, from the remembered paths of its pieces."""
+        if (ids := self.whole.find(part)) is not None:
+            return ids
+        out = []
+        for p in self._cut_again(part):
+            ids = self.paths.find(p)
+            if ids is None:
+                path = self._path(p)
+                if self._text_of(path) != p:
+                    self.unlike.add(p)
+                ids = array("i", path).tobytes()
+                if len(p) <= 64:
+                    self.paths.put(p, ids)
+            if p in self.unlike:
+                self.unlike.add(part)
+            out.append(ids)
+        ids = b"".join(out)
+        if len(part) <= 64:
+            self.whole.put(part, ids)
+        return ids
+
+    def encode_bytes(self, text: str) -> tuple[bytes, bool]:
+        """A text's ids as 32-bit numbers, and if they decode to the text, spaces U+2581 read as spaces."""
+        normal = self.normalise(text)
+        parts = self.cut.findall(normal) if self.cut else [normal] if normal else []
+        found = list(map(self.whole.new.get, parts))
+        if None in found:
+            found = [self._ids_of(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+        same = not self.unlike or self.unlike.isdisjoint(parts)
+        if self.squeeze or not self.escape:
+            same = same and self._plain(normal) == (text.replace(SPACE, " ") if self.escape else text)
+        return b"".join(found), same
+
+    def encode(self, text: str | None) -> list[int] | None:
+        return None if text is None else memoryview(self.encode_bytes(text)[0]).cast("i").tolist()
+
+    def _plain(self, text: str) -> str:
+        """A normalised text without the dummy prefix and the spaces' marks."""
+        text = text.replace(SPACE, " ") if self.escape else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
     def decode(self, ids: list[int] | None) -> str | None:
         """The inverse transducer: bytes' ids to characters, U+2581 to spaces, without the dummy prefix."""
-        if ids is None:
-            return None
+        return None if ids is None else self._plain(self._text_of(ids))
+
+    def _text_of(self, ids) -> str:
         out, raw = [], bytearray()
         for i in ids:
             if (b := self.id_bytes.get(i)) is not None:
@@ -188,10 +243,7 @@ class Transducer:
             out.append(" ⁇ " if i == self.unknown else "" if self.kinds[i] == CONTROL else self.pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        if self.escape:
-            text = text.replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return "".join(out)
 
 
 _COMPILED: dict[int, Transducer] = {}
@@ -222,9 +274,12 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL) -
         t = compiled(data.value)
 
         def rows(texts):
-            ids = [t.encode(x) for x in texts]
-            same = [x is None or t.decode(i) == (x.replace(SPACE, " ") if t.escape else x) for x, i in zip(texts, ids, strict=True)]
-            return ids, [len(i or ()) for i in ids], same
+            done = [(b"", True) if x is None else t.encode_bytes(x) for x in texts]
+            sizes = np.fromiter((len(ids) // 4 for ids, _ in done), np.int64, len(done))
+            values = pa.array(np.frombuffer(b"".join(ids for ids, _ in done), np.int32))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, values, mask=pa.array([x is None for x in texts], pa.bool_()))
+            return ids, pa.array(sizes), [same for _, same in done]
 
         return rows
 
