@@ -20,7 +20,7 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length, the norm taken in double and the parts kept in single precision."""
-    n = norm(v)
+    n = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))  # a filter for valid vectors may be applied after this
     return F.transform(v, lambda x: (x.cast("double") / n).cast("float"))
 
 

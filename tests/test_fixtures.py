@@ -14,7 +14,7 @@ def kv(spark, **rows):
 
 
 def pairs(df):
-    return sorted(map(tuple, df.collect()), key=str)
+    return sorted(map(tuple, df.collect()), key=lambda r: [str(x) for x in r])
 
 
 @pytest.fixture(scope="module")
