@@ -27,9 +27,11 @@ WORDS = 5
 PERCENT = 75
 #: An n-gram counts as frequent if one Arrow batch has it in so many texts; so many of the most
 #: frequent are told to all tasks (8 bytes each). Both only order n-grams: links don't depend on them.
-LOCAL_MIN, MAX_FREQUENT = 3, 500_000
+LOCAL_MIN, MAX_FREQUENT = 2, 250_000
 #: Prefix n-grams of a task, members of a list's row, n-grams of a verified group.
 BUCKET_GRAMS, LIST_ROWS, GROUP_GRAMS = 1_000_000, 4_096, 1_000_000
+#: Bits of the filter that is broadcast to find the documents of candidate pairs: 8 MB.
+FILTER_BITS = 1 << 26
 
 _LOW = np.uint64((1 << 58) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -151,11 +153,17 @@ def _sid(grams: np.ndarray) -> tuple[int, int]:
     return ((x & (1 << 64) - 1) ^ 1 << 63) - (1 << 63), (x >> 64 ^ 1 << 63) - (1 << 63)
 
 
+def _texts(column: pa.Array, rows: int = 500) -> Iterator[str | None]:
+    """A column's texts, few of them as Python objects at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (doc_id, n, sid, hi), and for each n-gram that is frequent in the batch (gram, n)."""
     for b in batches:
         ns, sids, his, seen = [], [], [], {}
-        for t in b.column(1).to_pylist():
+        for t in _texts(b.column(1)):
             s = shingles(t)
             sid, hi = _sid(s)
             ns.append(len(s))
@@ -170,10 +178,21 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent n-grams, ascending, and each one's class (log2 of its count): at most MAX_FREQUENT of them."""
-    top = profile.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_FREQUENT)
-    pdf = top.toPandas()
-    grams, counts = pdf.gram.to_numpy(np.int64).astype(np.uint64), pdf.n.to_numpy(np.int64)
+    """The frequent n-grams, ascending, and each one's class (log2 of its count): at most MAX_FREQUENT of them.
+
+    A histogram of the counts gives the least count that so many reach; no sort of all, and the
+    driver gets no more than those.
+    """
+    counted = profile.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    bars = counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()
+    least, total = None, 0
+    for bar in bars:
+        total += bar.c
+        if total > MAX_FREQUENT:
+            break
+        least = bar.n
+    found = (counted.where(F.col("n") >= least) if least is not None else counted.limit(0)).toArrow()
+    grams, counts = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()
     order = np.argsort(grams)
     classes = np.minimum(31, 1 + np.log2(np.maximum(1, counts)).astype(np.int64))
     return grams[order], classes[order].astype(np.uint64)
@@ -195,7 +214,7 @@ def _postings(frequent, buckets: int):
         known, seen = frequent.value, set()
         for b in batches:
             prefixes, sids, ns = [], [], []
-            for t in b.column(0).to_pylist():
+            for t in _texts(b.column(0)):
                 s = shingles(t)
                 sid = _sid(s)[0]
                 if len(s) and sid not in seen:
@@ -224,7 +243,7 @@ def _postings(frequent, buckets: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed postings of a task's buckets to its lists of two or more sets: (sig, hub, hub_n, sids, sizes), long lists in several rows."""
+    """Packed postings of a task's buckets to its lists of two or more sets: (sig, part, grams, hub, hub_n, sids, sizes), long lists in several rows; lists of the same members are one, with their number of grams."""
     sids, ns, grams = [], [], []
     for b in batches:
         for s, n, r, g in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -232,8 +251,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sids.append(np.repeat(np.frombuffer(s, np.int64), runs))
             ns.append(np.repeat(np.frombuffer(n, np.int32), runs))
             grams.append(np.frombuffer(g, np.uint64))
-    names = ["sig", "part", "hub", "hub_n", "sids", "sizes"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["sig", "part", "grams", "hub", "hub_n", "sids", "sizes"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     if not grams:
         return
     sids, ns, grams = np.concatenate(sids), np.concatenate(ns), np.concatenate(grams)
@@ -244,17 +263,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sids, ns, grams = sids[new], ns[new], grams[new]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
     sizes = np.diff([*starts, len(grams)])
-    sums = np.add.reduceat(_mix(sids.astype(np.uint64)), starts)  # lists of the same members are one
+    sums = np.add.reduceat(_mix(sids.astype(np.uint64)), starts)
     many = np.flatnonzero(sizes > 1)
-    _, first = np.unique(np.stack([sums[many], sizes[many].astype(np.uint64)]), axis=1, return_index=True) if len(many) else (None, [])
+    first, times = np.unique(np.stack([sums[many], sizes[many].astype(np.uint64)]), axis=1, return_index=True, return_counts=True)[1:] if len(many) else ([], [])
     out, held = [], 0
-    for k in many[first]:
+    for k, n_grams in zip(many[first], times, strict=True):
         lo, size = int(starts[k]), int(sizes[k])
         sig = int(_mix(sums[k : k + 1] ^ np.uint64(size))[0].astype(np.int64))
         hub = lo + size // 2  # the middle by size
         for part, at in enumerate(range(lo, lo + size, LIST_ROWS)):
             to = min(at + LIST_ROWS, lo + size)
-            out.append((sig, part, int(sids[hub]), int(ns[hub]), sids[at:to], ns[at:to]))
+            out.append((sig, part, int(n_grams), int(sids[hub]), int(ns[hub]), sids[at:to], ns[at:to]))
             held += to - at
         if held > 1 << 18:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -275,17 +294,83 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pdf.probe.iloc[0], "b": others[hits]}).astype("int64")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The linked ones of `pairs` (probe, sid), by prefix tree; `sets`: (sid, n, set).
+def _filter_bits(keys: DataFrame) -> dict[int, bytes]:
+    """A Bloom filter of `keys` (key: long) with one hash, as 4-KB pieces by number: FILTER_BITS bits in all, whatever the corpus."""
+    h = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    pieces = keys.groupBy(F.shiftright(h, 15).cast("int").alias("piece")).agg(F.bitmap_construct_agg(h.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    return {r.piece: bytes(r.bits) for r in pieces.collect()}
+
+
+def _sets_of(known, bits):
+    """Batches of (doc_id, text) to (key, sid, n, set) of the documents whose key the filter may have: doc_id, or the set's name for a null one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        frequent, pieces = known.value, bits.value
 
-    A probe's partners are parted into groups of about GROUP_GRAMS n-grams by hash; the probe's own
-    set goes to each group, so that no task holds a hub with all that meet it.
+        def may_have(key: int) -> bool:
+            h = xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) % FILTER_BITS
+            piece = pieces.get(h >> 15)
+            return piece is not None and bool(piece[(h & 32767) >> 3] >> (h & 7) & 1)
+
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
+                if doc_id is not None and not may_have(doc_id):
+                    continue
+                if len(s := shingles(text)):
+                    sid = _sid(s)[0]
+                    if doc_id is not None or may_have(sid):
+                        out.append((sid if doc_id is None else doc_id, sid, len(s), ordered(s, frequent).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "sid", "n", "set"])
+
+    return run
+
+
+def may_link(n1, n2, lists1, lists2, common):
+    """If two sets may be linked by what their prefixes share; `lists`: list -> its grams, `common`: the lists that both are in.
+
+    Where the prefix of one ends first, all grams that both have up to there are in lists that both
+    are in; beyond it they share at most what that one has left. What each has left is known, so the
+    larger of the two gives a bound without the sets.
     """
-    sized = pairs.join(sets.select("sid", "n"), "sid")
+    left = lambda n: F.ceil(n * PERCENT / F.lit(100)) - 1  # noqa: E731  n less prefix_size(n)
+    shared = F.aggregate(common, F.lit(0).cast("long"), lambda s, k: s + F.element_at(lists1, k))
+    return (shared + F.greatest(left(n1), left(n2))) * (100 + PERCENT) >= F.lit(PERCENT) * (n1 + n2)
+
+
+def lists_by_set(members: DataFrame) -> DataFrame:
+    """(sid, lists): the map of each set's lists to their grams, no more than its prefix has."""
+    return members.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("sig", "grams"))).alias("lists"))
+
+
+def screened(pairs: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Those of `pairs` (probe, sid) that may be linked."""
+    met = lists_by_set(members).join(sizes.select("sid", "n"), "sid")
+    a = met.select(F.col("sid").alias("probe"), F.col("n").alias("n1"), F.col("lists").alias("l1"))
+    both = pairs.join(a, "probe").join(met, "sid")
+    common = F.array_intersect(F.map_keys("l1"), F.map_keys("lists"))
+    return both.where(may_link(F.col("n1"), F.col("n"), F.col("l1"), F.col("lists"), common)).select("probe", "sid")
+
+
+def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, known, name: str) -> DataFrame:
+    """The linked ones of `pairs` (probe, sid), by prefix tree; `named`: (sid, key, n).
+
+    Only the sets in pairs are made again, where their texts are read: a Bloom filter of a fixed size
+    tells which documents those may be, and the join on key and sid drops the rest. A probe's partners
+    are parted into groups of about GROUP_GRAMS n-grams by hash; the probe's own set goes to each
+    group, so that no task holds a hub with all that meet it.
+    """
+    sized = pairs.join(named, "sid")
     parts = sized.groupBy("probe").agg(F.ceil(F.sum("n") / GROUP_GRAMS).cast("int").alias("parts"))
-    members = sized.join(parts, "probe").select("probe", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid")
-    own = parts.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("sid"))
-    rows = members.unionByName(own).join(sets.select("sid", "set"), "sid")
+    members = sized.join(parts, "probe").select("probe", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid", "key")
+    own = parts.join(named.withColumnRenamed("sid", "probe"), "probe").select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("probe").alias("sid"), "key")
+    rows = materialise(members.unionByName(own), f"{name}-groups")
+    bits = pairs.sparkSession.sparkContext.broadcast(_filter_bits(rows.select("key").distinct()))
+    sets = texts.mapInArrow(_sets_of(known, bits), "key long, sid long, n int, set binary")
+    rows = rows.join(sets.select("key", "sid", "set"), ["key", "sid"])
     return materialise(rows.groupBy("probe", "part").applyInPandas(_verify, "a long, b long"), name)
 
 
@@ -303,44 +388,38 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = spark.sparkContext.broadcast(frequent_order(profile))
     rows = profile.where("gram is null").drop("gram")
     named = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), (F.min("hi") != F.max("hi")).alias("clash"))
+    named = materialise(named, "ngram-named")
     total = named.agg(F.sum("n"), F.max("clash")).first()
     if total[1]:
         raise RuntimeError("two different sets have one 64-bit name; change the hash's seed")
+    keys = named.select("sid", F.coalesce("least", "sid").alias("key"), "n")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total[0] or 0) * (100 - PERCENT) // 100 // BUCKET_GRAMS)
     packed = texts.select("text").mapInArrow(_postings(known, buckets), "bucket int, sids binary, sizes binary, runs binary, grams binary")
-    lists = packed.repartition(buckets, "bucket").mapInArrow(_lists, "sig long, part int, hub long, hub_n int, sids array<long>, sizes array<int>")
-    lists = materialise(lists.dropDuplicates(["sig", "part"]), "ngram-lists")
-    members = lists.select("sig", "hub", "hub_n", F.explode(F.arrays_zip("sids", "sizes")).alias("x")).select("sig", "hub", "hub_n", F.col("x.sids").alias("sid"), F.col("x.sizes").alias("n"))
-
-    # the sets of all that are in lists; one document stands for each
-    met = members.select("sid").distinct().join(named.where("least is not null"), "sid").select("sid", "least")
-    unnamed = rows.where("sid is not null and doc_id is null").limit(1).count()
-    stand = texts.join(met.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    if unnamed:
-        stand = stand.unionByName(texts.where("doc_id is null"))
-    keep = lambda b: [(shingles(t)) for t in b.column(0).to_pylist()]
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [s for s in keep(b) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_sid(s)[0] for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([ordered(s, known.value).tobytes() for s in found], pa.binary())], names=["sid", "n", "set"])
-
-    sets = materialise(stand.select("text").mapInArrow(sets_of, "sid long, n int, set binary").dropDuplicates(["sid"]), "ngram-sets")
+    lists = packed.repartition(buckets, "bucket").mapInArrow(_lists, "sig long, part int, grams int, hub long, hub_n int, sids array<long>, sizes array<int>")
+    same = [F.first(c).alias(c) for c in ("hub", "hub_n", "sids", "sizes")]
+    lists = materialise(lists.groupBy("sig", "part").agg(F.sum("grams").alias("grams"), *same), "ngram-lists")
+    members = lists.select("sig", "grams", "hub", "hub_n", F.explode(F.arrays_zip("sids", "sizes")).alias("x")).select("sig", "grams", "hub", "hub_n", F.col("x.sids").alias("sid"), F.col("x.sizes").alias("n"))
 
     fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
     tried = materialise(members.where((F.col("sid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("probe"), "sid").distinct(), "ngram-tried")
-    edges = verified(tried, sets, "ngram-hub-links")
+    hopeful = materialise(screened(tried, members, keys), "ngram-hopeful")
+    edges = verified(hopeful, keys, texts, known, "ngram-hub-links")
     klass = components(edges, "ngram-hubs")
-    labelled = members.select("sig", "sid", "n").join(klass.withColumnsRenamed({"node": "sid", "component": "klass"}), "sid", "left").withColumn("klass", F.coalesce("klass", "sid"))
+    labelled = members.select("sig", "grams", "sid", "n").join(klass.withColumnsRenamed({"node": "sid", "component": "klass"}), "sid", "left").withColumn("klass", F.coalesce("klass", "sid"))
     labelled = materialise(labelled, "ngram-labelled")
     open_ = labelled.groupBy("sig").agg(F.min("klass").alias("lo"), F.max("klass").alias("hi")).where("lo <> hi").select("sig")
-    left = labelled.join(open_, "sig", "left_semi")
-    right = left.select("sig", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("klass").alias("klass2"))
-    cross = left.join(right, "sig").where((F.col("klass") != F.col("klass2")) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sid") < F.col("sid2")))) & fits(F.col("n"), F.col("n2")))
-    pairs = cross.select(F.col("sid").alias("probe"), F.col("sid2").alias("sid")).distinct()
+    opened = materialise(labelled.join(open_, "sig", "left_semi"), "ngram-open")
+    opened = opened.join(lists_by_set(opened), "sid")
+    other = opened.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("sid", "n", "klass", "lists")])
+    # members of different components, each pair in the first list that both are in
+    n1, n2 = F.col("n"), F.col("n_2")
+    common = F.array_intersect(F.map_keys("lists"), F.map_keys("lists_2"))
+    apart = (F.col("klass") != F.col("klass_2")) & ((n1 < n2) | ((n1 == n2) & (F.col("sid") < F.col("sid_2")))) & fits(n1, n2)
+    cross = opened.join(other, "sig").where(apart & (F.array_min(common) == F.col("sig")) & may_link(n1, n2, F.col("lists"), F.col("lists_2"), common))
+    pairs = cross.select(F.col("sid").alias("probe"), F.col("sid_2").alias("sid"))
     done = tried.select("probe", "sid").union(tried.select(F.col("sid").alias("probe"), F.col("probe").alias("sid")))
     pairs = materialise(pairs.join(done, ["probe", "sid"], "left_anti"), "ngram-cross")
-    more = verified(pairs, sets, "ngram-cross-links")
+    more = verified(pairs, keys, texts, known, "ngram-cross-links")
     klass = components(edges.unionByName(more), "ngram")
 
     named = named.select("sid", "least").join(klass, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("__sid"), F.coalesce("component", "sid").alias("klass"), "least")
