@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Every vector is described by its nearest reference points (pivots), in order. It is posted to the
+Every vector is described by its nearest reference points (pivots, random directions), in order. It is posted to the
 inverted lists of its first few pivots; vectors of one list that share enough of their whole
 descriptions are candidates, and each candidate is verified by its cosine in double precision.
 Equal vectors are one entry with a count. Long lists are parted into tiles, so that no task holds
@@ -23,32 +23,48 @@ from heddle.llm.common import components, materialise
 
 #: Pivots of a description, lists that a vector is posted to, shared pivots that make a candidate.
 DESCRIBED, POSTED, SHARED = 12, 6, 4
-#: Pivots grow with the square root of the vectors, within these bounds; the sample they are fitted on is as large.
-PIVOTS = (64, 4096)
+#: Pivots grow with the square root of the vectors, within these bounds, as long as the recall at the least cosine is REACH.
+PIVOTS, REACH = (64, 4096), 0.99
 #: The least cosine of a link.
 LEAST = 0.93
 #: Vectors of a list's part.
 TILE = 2_000
 
 
-def fit_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Dimension -> pivots (unit rows): the `n` valid vectors with the least hash of id and vector, a bounded sample."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", "fp"), "fp").limit(n).select("vec").collect()
-    by: dict[int, list[np.ndarray]] = {}
-    for r in rows:
-        v = np.frombuffer(r.vec)
-        by.setdefault(len(v), []).append(v / np.linalg.norm(v))
-    return {d: np.unique(np.stack(v), axis=0) for d, v in by.items()}
-
-
-def pivots_for(fitted: dict[int, np.ndarray], dim: int, n: int) -> np.ndarray:
-    """The fitted pivots of a dimension; for one that the sample missed, seeded random directions."""
-    if dim in fitted and len(fitted[dim]) >= min(n, 2 * DESCRIBED):
-        return fitted[dim]
+def make_pivots(dim: int, n: int) -> np.ndarray:
+    """`n` seeded random directions. They know nothing of the data, so a group of near copies draws no pivots to itself,
+    and how far two descriptions agree depends on the two vectors' angle, not on what else the table holds."""
     p = np.random.default_rng(dim).standard_normal((n, dim))
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
 
+def describe(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivots of each unit row, nearest first."""
+    return np.argsort(-np.round(x @ pivots.T, 9), axis=1, kind="stable")[:, :DESCRIBED]
+
+
+def are_candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows' descriptions share a posted pivot and SHARED described ones."""
+    same = a[:, :, None] == b[:, None, :]
+    return same[:, :POSTED, :POSTED].any((1, 2)) & (same.sum((1, 2)) >= SHARED)
+
+
+def pivot_count(dim: int, most: int) -> int:
+    """How many pivots, `most` or a half, a fourth and so on, find seeded pairs of the least cosine with a recall of REACH.
+
+    In few dimensions many pivots lie within a link's angle. With POSTED of them every pair is a candidate.
+    """
+    if dim == 1:  # vectors of one sign have one description
+        return most
+    x, u = np.random.default_rng([dim, 1]).standard_normal((2, 2_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = LEAST * x + math.sqrt(1 - LEAST**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    while most > POSTED and are_candidates(describe(x, p := make_pivots(dim, most)), describe(y, p)).mean() < REACH:
+        most = max(POSTED, most // 2)
+    return most
+
+
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, fp, vec): fp and vec are null for vectors that link with nothing."""
     for b in batches:
@@ -124,7 +140,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     label, link with nothing and are their own component. Vectors of unlike lengths don't link.
     Repeated rows are vectors of their own. A null id can't name a component. An empty table gives an
     empty result; other columns are ignored. The index finds a link if the two share a posted pivot
-    and SHARED described ones; tests measure its recall.
+    and SHARED described ones; the number of pivots is held to where that finds REACH of the pairs of
+    the least cosine, whatever groups the table has, and tests measure the recall. Pairs of one dense
+    group are all compared, so the work grows with the square of its unlike vectors.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     all_ = materialise(rows.mapInArrow(_valid, "vec_id long, label long, fp binary, vec binary"), "vectors")
@@ -132,26 +150,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     entries = materialise(valid.groupBy("label", "fp").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec")), "vector-entries")
     n = entries.count()
     n_pivots = int(min(PIVOTS[1], max(PIVOTS[0], 2 ** math.ceil(math.log2(max(1, n)) / 2))))
-    pivots = rows.sparkSession.sparkContext.broadcast(fit_pivots(valid, n_pivots))
+    lengths = [r.dim for r in entries.select((F.octet_length("vec") / 8).cast("int").alias("dim")).distinct().collect()]
+    counts = {dim: pivot_count(dim, n_pivots) for dim in lengths}
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = pivots.value
+    def described_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         for b in batches:
             vecs = [np.frombuffer(v) for v in b.column(4).to_pylist()]
             out: list = [None] * len(vecs)
             for dim in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == dim]
-                p = pivots_for(fitted, dim, n_pivots)
+                if dim not in made:
+                    made[dim] = make_pivots(dim, counts[dim])
                 x = np.stack([vecs[i] for i in at])
-                near = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ p.T, 9)
-                order = np.argsort(-near, axis=1, kind="stable")[:, :DESCRIBED]
-                for i, d in zip(at, order, strict=True):
+                for i, d in zip(at, describe(x / np.linalg.norm(x, axis=1, keepdims=True), made[dim]), strict=True):
                     out[i] = d.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["label", "fp", "rep", "m", "vec", "desc"])
 
     # entries whose ids are all null can't name a component; they keep their copies as links
     named = entries.select("label", "fp", "rep", "m", "vec").where("rep is not null")
-    described = named.mapInArrow(describe, "label long, fp binary, rep long, m long, vec binary, desc array<int>")
+    described = named.mapInArrow(described_by, "label long, fp binary, rep long, m long, vec binary, desc array<int>")
     posts = described.withColumn("dim", F.octet_length("vec")).withColumn("pivot", F.explode(F.slice("desc", 1, POSTED)))
     parts = posts.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
     posts = posts.join(parts, ["label", "dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))

@@ -138,6 +138,46 @@ def test_tiles(spark, monkeypatch):
     _check_vectors(spark, v, [0] * len(v))
 
 
+@pytest.mark.parametrize("share", (3, 10))
+@pytest.mark.parametrize("n_pivots", (64, 256, 512, 1024))
+def test_recall_in_a_large_group(n_pivots, share):
+    """A group of a third or a tenth of the vectors, its pairs near the least cosine, is found however many pivots there are."""
+    rng, pivots = np.random.default_rng(n_pivots), pivot_index.make_pivots(64, pivot_index.pivot_count(64, n_pivots))
+    recalls = []
+    for _ in range(8):
+        center = rng.standard_normal(64)
+        center /= np.linalg.norm(center)
+        x = center + 0.0335 * rng.standard_normal((3_000 // share, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = np.triu_indices(len(x), 1)
+        linked = np.einsum("ij,ij->i", x[i], x[j]) >= pivot_index.LEAST
+        at = rng.permutation(np.flatnonzero(linked))[:3_000]
+        d = pivot_index.describe(x, pivots)
+        recalls.append(pivot_index.are_candidates(d[i[at]], d[j[at]]).mean())
+    assert np.mean(recalls) >= 0.98
+
+
+@pytest.mark.parametrize("dim", (2, 3, 8, 64))
+def test_recall_in_few_dimensions(dim):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = pivot_index.make_pivots(dim, pivot_index.pivot_count(dim, 4096))
+    y = x + 0.3 / np.sqrt(dim) * rng.standard_normal(x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    linked = np.einsum("ij,ij->i", x, y) >= pivot_index.LEAST
+    assert pivot_index.are_candidates(pivot_index.describe(x[linked], pivots), pivot_index.describe(y[linked], pivots)).mean() >= 0.98
+
+
+def test_large_group(spark, monkeypatch):
+    """A third of the rows are near copies; as many pivots as a table of a million rows would have."""
+    monkeypatch.setattr(pivot_index, "PIVOTS", (1024, 1024))
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((900, 64))
+    v[:300] = v[0] / np.linalg.norm(v[0]) + 0.0335 * rng.standard_normal((300, 64))
+    _check_vectors(spark, v[rng.permutation(900)].astype(np.float32), [0] * 900, recall=0.95)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, -0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, nan], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (12, [1e-30, 1e-32], 1)]
