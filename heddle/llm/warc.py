@@ -117,8 +117,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """Write a record for every row (page_id, url, payload, digest, revisit, refers_to) to archives below `path`; return (archive, records, bytes).
 
     An archive appears under its name only when whole (written aside, then moved), and its name comes
-    from the task attempt, so that a task that is run again leaves no half archive and readers take
-    only the archives listed here. `path` is a URI that pyarrow's file systems know, shared by all executors.
+    from the task attempt. A task that is run again may leave whole archives of its earlier attempt
+    beside its own, so readers take only the archives of the result, once written (`archived` does). `path` is a URI that pyarrow's file systems know, shared by all executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +156,11 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     return pages.select("page_id", "url", "payload", "digest", "revisit", "refers_to").mapInArrow(run, "archive string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record and gap of the archives below `path`: archive, kind, start, end, headers, block."""
+def read_archives(spark: SparkSession, path: str, written: DataFrame | None = None) -> DataFrame:
+    """Every record and gap of the archives (*.warc, *.warc.gz) in `path`: archive, kind, start, end, headers, block.
+
+    With `written`, a stored result of `write_archives`, only of the archives that it lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["archive", "kind", "start", "end", "headers", "block"]
@@ -176,7 +179,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     # a row holds a whole archive, so few rows make an Arrow batch
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
+    if written is not None:  # by name, since the listed paths have no scheme; one short row an archive is broadcast
+        listed = written.select(F.substring_index("archive", "/", -1).alias("__name"))
+        files = files.join(F.broadcast(listed), F.substring_index("path", "/", -1) == F.col("__name"), "left_semi")
     return files.mapInArrow(run, "archive string, kind string, start long, end long, headers map<string,string>, block binary")
 
 
@@ -209,13 +215,13 @@ def archived(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     """
     spark = pages.sparkSession
     path = path or working_path(spark, "warc")
-    materialise(archive_pages(pages, path, id_col, url_col, html_col), "warc-archives")
+    written = materialise(archive_pages(pages, path, id_col, url_col, html_col), "warc-archives")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     h = F.col("headers")
     number = lambda name: F.regexp_extract(h[name], "urn:x-page:(-?[0-9]+)", 1).try_cast("long")
-    return read_archives(spark, path).where("kind = 'record'").select(number("warc-record-id").alias("page_id"), h["x-payload-length"].cast("long").alias("payload_bytes"), F.substring_index(h["warc-payload-digest"], ":", -1).alias("payload_digest"), h["warc-type"].alias("record_type"), number("warc-refers-to").alias("refers_to"))
+    return read_archives(spark, path, written).where("kind = 'record'").select(number("warc-record-id").alias("page_id"), h["x-payload-length"].cast("long").alias("payload_bytes"), F.substring_index(h["warc-payload-digest"], ":", -1).alias("payload_digest"), h["warc-type"].alias("record_type"), number("warc-refers-to").alias("refers_to"))
 
 
 SQL = """

@@ -151,6 +151,15 @@ def test_archived_rows(spark, tmp_path):
     assert {r.kind: r["count"] for r in back} == {"record": 6, "gap": 1}
 
 
+def test_archives_of_lost_attempts_are_left_out(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.archived(df, path).collect()  # as if by an attempt whose executor was lost
+    (tmp_path / "w" / "part-000000-99-00000.warc.gz.open").write_bytes(warc.gzip_member(_records(1)[0]))
+    assert sorted(r.page_id for r in warc.archived(df, path).collect()) == [1, 2]
+    assert all(r.archive.endswith(".warc.gz") for r in warc.read_archives(spark, path).collect())
+
+
 def test_url_lists(spark):
     d = datetime.date
     pages = [(1, "https://u:p@a.B.org:80/en/x?q#f", d(2024, 2, 1)), (2, "http://b.org/en", d(2024, 2, 10)), (3, None, d(2024, 2, 1)), (4, "nonsense", d(2024, 2, 1)), (5, "http://b.org/", None), (6, "http://b.org/en/x", d(2024, 2, 20)), (1, "https://u:p@a.B.org:80/en/x?q#f", d(2024, 2, 1))]
