@@ -3,7 +3,7 @@
 List entries carry dates: an entry is added, removed and perhaps added again. Its history becomes
 validity intervals, and every capture is matched, by an as-of join, against the entries that were
 active when it was fetched. A capture's URL matches an entry through its keys: its host and every
-domain above it, and its host with each leading part of the path.
+domain above it, and its host with each leading part of the path, however many there are.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels of a host and parts of a path that make keys; deeper list entries are cut to the same depth, so that they still match.
-MAX_LABELS, MAX_PARTS = 8, 8
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
@@ -21,18 +19,29 @@ def host_of(url):
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def url_keys(url):
-    """The keys of a URL: "d:" and a domain suffix, "p:" and host with path prefix; none of a null or other text."""
+def url_keys(url, depths):
+    """The keys of a URL: "d:" and a domain suffix, "p:" and host with path prefix; none of a null or other text.
+
+    `depths` is what `depths_of` returns: only keys with as many labels or parts as some entry has are made,
+    since a URL of many parts would have as many keys, each nearly as long as it.
+    """
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffix = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    suffix = F.transform(F.filter(depths["labels"], lambda k: k <= n), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    depth = F.least(F.size(parts), F.lit(MAX_PARTS))
-    prefix = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
+    prefix = F.transform(F.filter(depths["parts"], lambda k: k <= F.size(parts)), lambda k: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     return F.when(host != "", F.concat(suffix, prefix)).otherwise(F.array().cast("array<string>"))
 
 
+def depths_of(entries: DataFrame) -> DataFrame:
+    """One row, depths: the numbers of labels of the entries' domains and of parts of their paths, each once."""
+    kind, name = F.substring("key", 1, 2), F.expr("substring(key, 3)")
+    labels = F.when(kind == "d:", F.size(F.split(name, r"\.")))
+    parts = F.when(kind == "p:", F.nullif(F.size(F.split(name, "/")) - 1, F.lit(0)))
+    return entries.select(F.collect_set(labels).alias("labels"), F.collect_set(parts).alias("parts")).select(F.struct("labels", "parts").alias("depths"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, list, valid_from, valid_to) from dated rows (key, list, action, at): action "add" or "remove".
 
@@ -53,7 +62,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: s
     apart only if their ids differ, and repeated rows come back once each; empty lists block nothing.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("at"))
-    probes = rows.distinct().select("id", "url", "at", F.explode(url_keys(F.col("url"))).alias("key"))
+    probes = rows.distinct().crossJoin(F.broadcast(depths_of(entries))).select("id", "url", "at", F.explode(url_keys(F.col("url"), F.col("depths"))).alias("key"))
     live = intervals(entries)
     met = probes.join(live, "key").where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     found = met.groupBy(F.col("id").alias("__id"), F.col("url").alias("__url"), F.col("at").alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))

@@ -170,3 +170,12 @@ def test_url_lists(spark):
     assert got == Counter({(1, 2, "one,two", True): 2, (2, 0, "", False): 1, (3, 0, "", False): 1, (4, 0, "", False): 1, (5, 0, "", False): 1, (6, 1, "one", True): 1})
     assert url_lists.filter_urls(p.limit(0), e, "page_id", "url", "at").count() == 0
     assert not any(r.blocked for r in url_lists.filter_urls(p, e.limit(0), "page_id", "url", "at").collect())
+
+
+def test_deep_urls_match_deep_entries(spark):
+    d = datetime.date(2024, 1, 1)
+    host, path = ".".join(f"l{i}" for i in range(12)), "/".join(f"p{i}" for i in range(12))
+    urls = [f"http://{host}/", f"http://x.{host}/", f"http://y{host[1:]}/", f"http://h.org/{path}/more", f"http://h.org/{path}", f"http://h.org/{path[:-1]}", "http://h.org/" + "a/" * 20_000]
+    p = spark.createDataFrame([(i, u, d) for i, u in enumerate(urls)], "page_id long, url string, at date")
+    e = spark.createDataFrame([(k, "x", "add", d) for k in (f"d:{host}", f"p:h.org/{path}", "p:h.org/" + "/".join("a" * 5_000))], "key string, list string, action string, at date")
+    assert {r.id for r in url_lists.filter_urls(p, e, "page_id", "url", "at").collect() if r.blocked} == {0, 1, 3, 4, 6}
