@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three transducers. The normaliser rewrites characters (its compiled
-character map, the dummy prefix, spaces as U+2581). The lexicon reads a piece's characters and writes
+A model file is compiled into three transducers. The normaliser rewrites spaces (the dummy prefix, spaces
+as U+2581); a model with a compiled character map is refused. The lexicon reads a piece's characters and writes
 its id. Byte fallback reads a character that no piece covers and writes its UTF-8 bytes' ids. A text is
 composed with them into a lattice of its positions and the tropical-semiring shortest path is taken.
 
