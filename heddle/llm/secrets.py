@@ -25,13 +25,13 @@ BASE = 3
 #: A vocabulary whose order ranks words; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 MIN_COST = 10.0
-WINDOW = 32  # longest segment; longer repeats and walks count as several
+WINDOW = 32  # longest word; repeats, steps and walks are as long as they are
 
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Contexts of the base pattern and looser ones, whose values the guess cost judges.
-_CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth(?:orization)?|bearer)[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+)[\"']?([!-&(-+\--:<-~]{6,})", re.IGNORECASE | re.ASCII)
+_CONTEXT = re.compile(r"(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth(?:orization)?|bearer)[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+)|bearer\x20+)[\"']?([!-&(-+\--:<-~]{6,})", re.IGNORECASE | re.ASCII)
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("4@301!5$7", "aaeoiisst")
@@ -59,14 +59,21 @@ def _brute(c: str) -> float:
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation needs; at least `enough` once it is sure to be.
 
-    best[i] is the least cost of the first i characters. Every path to the end passes one of any
-    WINDOW consecutive positions, so the value is settled as costly once all of those are.
+    best[i] is the least cost of the first i characters. Where no repeat, step or walk is longer, every
+    path to the end passes one of WINDOW consecutive positions, so the value is settled as costly once
+    all of those are. Of a longer repeat, step or walk the first and last WINDOW places to start it are tried.
     """
     n = len(value)
     best = [0.0] + [math.inf] * n
     low, plain = value.lower(), value.lower().translate(_LEET)
+    same = even = path = 0  # where the repeat, step and walk that end here start
     for i in range(1, n + 1):
         cost = best[i - 1] + _brute(value[i - 1])
+        if i > 1:
+            by = ord(value[i - 1]) - ord(value[i - 2])
+            same = same if by == 0 else i - 1
+            even = i - 1 if abs(by) > 1 else even if i > 2 and by == ord(value[i - 2]) - ord(value[i - 3]) else i - 2
+            path = path if low[i - 2] in _NEAR.get(low[i - 1], "") else i - 1
         run = walk = step = True
         for j in range(i - 2, max(-1, i - WINDOW - 1), -1):
             size, before = i - j, best[j]
@@ -91,8 +98,11 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
                     extra += 0.6
                 if rank is not None:
                     cost = min(cost, before + math.log10(rank + 1) + extra)
+        for start, first, each in ((same, _brute(value[i - 1]), 0.0), (even, 1.3, 0.0), (path, math.log10(47), 0.3)):
+            for j in range(start, min(start + WINDOW, i - WINDOW)):
+                cost = min(cost, best[j] + first + math.log10(i - j) + each * (i - j))
         best[i] = cost
-        if i >= WINDOW and min(best[i - WINDOW + 1 : i + 1]) >= enough:
+        if i >= WINDOW and i - min(same, even, path) < WINDOW and min(best[i - WINDOW + 1 : i + 1]) >= enough:
             return enough
     return best[n]
 
@@ -118,9 +128,14 @@ def scanner(ranks: dict[str, int], min_cost: float = MIN_COST) -> Callable[[str
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
         low = text.lower()
-        if any(s in low for s in _STEMS) and ("=" in text or ":" in text or " is " in low):
+        if any(s in low for s in _STEMS) and ("=" in text or ":" in text or " is " in low or "bearer " in low):
             out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
-            out += [(m.start(1), 3, m.end(1)) for m in _CONTEXT.finditer(text) if guess_cost(m[1], ranks, min_cost) >= min_cost]
+            at = 0
+            while m := _CONTEXT.search(text, at):
+                costly = guess_cost(m[1], ranks, min_cost) >= min_cost
+                if costly:
+                    out.append((m.start(1), 3, m.end(1)))
+                at = m.end(1) if costly else m.start(1)  # a cheap value may be the context of the next
         return sorted(out)
 
     return scan

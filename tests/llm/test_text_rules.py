@@ -157,6 +157,21 @@ def test_guess_cost_is_at_most_any_segmentation(ranks):
         assert secrets.guess_cost(v, ranks) <= _cheapest(v, ranks) + 1e-9
 
 
+@pytest.mark.parametrize("context", ("Authorization: Bearer ", "secret: token: ", "secret is password: ", "Bearer ", "password: password: token: "))
+def test_secrets_behind_cheap_values(ranks, context):
+    value = "q7Zk9vXw2LmT4rBn"
+    assert (len(context), 3, len(context) + len(value)) in secrets.scanner(ranks)(context + value + " and more")
+    assert not [x for x in secrets.scanner(ranks)(context + "password") if x[1] == 3]
+
+
+def test_long_masks_are_cheap(ranks):
+    for mask in ("x" * 100, "*" * 1_000, "-" * 3_000, "password" + "x" * 200):
+        assert secrets.guess_cost(mask, ranks) < secrets.MIN_COST
+        assert secrets.guess_cost(mask, ranks, 10.0) < 10
+        assert not [x for x in secrets.scanner(ranks)(f"password: {mask} ok") if x[1] == 3]
+    assert secrets.guess_cost("x" * 100 + "q7Zk9vXw2LmT4rBn", ranks, 10.0) >= 10
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "pwd: kJ8#vQz!2Lpw and password: password1")], "doc_id long, text string")
     rows = sorted(secrets.secret_spans(df).collect(), key=lambda r: r.doc_id)
