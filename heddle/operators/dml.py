@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,6 @@ def delete_using(table: DataFrame, source: DataFrame, on: Column) -> tuple[DataF
     return table.alias("t").join(source.alias("s"), on, "left_anti"), table.alias("t").join(source.alias("s"), on, "left_semi")
 
 
-def truncate(table: DataFrame) -> DataFrame:
-    return table.limit(0)
-
-
 def patch(document: Column, changes: Column) -> Column:
     """A shallow merge of two JSON objects of scalars; null in the changes sets the field to null."""
     kind = "map<string,string>"
@@ -100,6 +98,46 @@ def cascade(child: DataFrame, fk: str, gone: DataFrame, pk: str, action: str = "
     return joined.select(*[F.when(F.col("__gone").isNotNull(), value).otherwise(F.col(fk)).cast(child.schema[fk].dataType).alias(fk) if c == fk else F.col(c) for c in child.columns])
 
 
+def cascade_update(child: DataFrame, fk: str, moved: DataFrame, action: str = "cascade", default: Column | None = None) -> DataFrame:
+    """Child rows after their parents' keys change, `moved` (old, new): restrict, cascade, set null, set default. A key that stays moves no one."""
+    keys = moved.where(~F.col("old").eqNullSafe(F.col("new"))).select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    if action == "restrict":
+        _reject(child.join(keys, F.col(fk) == F.col("__old"), "left_semi"), "row is referenced")
+        return child
+    value = {"cascade": F.col("__new"), "set null": F.lit(None), "set default": default if default is not None else F.lit(None)}[action]
+    joined = child.join(keys, F.col(fk) == F.col("__old"), "left")
+    return joined.select(*[F.when(F.col("__old").isNotNull(), value).otherwise(F.col(fk)).cast(child.schema[fk].dataType).alias(fk) if c == fk else F.col(c) for c in child.columns])
+
+
+def delete_chain(tables: dict[str, DataFrame], gone: DataFrame, name: str, pk: dict[str, str], links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """All tables after rows `gone` of table `name` are deleted; `links` (child, foreign key, parent, action) are followed as long as cascades delete rows.
+
+    The links, not the rows, are walked on the driver: a plan for each. Links may not form a circle of cascades.
+    """
+    after, todo = dict(tables), [(name, gone, ())]
+    after[name] = after[name].join(gone.select(pk[name]).distinct(), pk[name], "left_anti")
+    while todo:
+        parent, lost, path = todo.pop()
+        for child, fk, of, action in links:
+            if of != parent:
+                continue
+            if child in path:
+                raise ValueError(f"cascades go in a circle at {child}")
+            before = after[child]
+            after[child] = cascade(before, fk, lost, pk[parent], action)
+            if action == "cascade":
+                todo.append((child, before.join(lost.select(F.col(pk[parent]).alias("__gone")).distinct(), F.col(fk) == F.col("__gone"), "left_semi"), (*path, parent)))
+    return after
+
+
+def transformed(table: DataFrame, proposed: DataFrame, key: str, transform: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """Writes (key, value) pass a callback before they are stored: `transform`(key, value before or null, proposed value) gives the value; null deletes the row."""
+    before, new = table.select(F.col(key).alias("__b"), F.col("value").alias("__old")), proposed.select(F.col(key).alias("__p"), F.col("value").alias("__new"))
+    both = before.join(new, F.col("__b") == F.col("__p"), "full")
+    value = F.when(F.col("__p").isNotNull(), transform(F.col("__p"), F.col("__old"), F.col("__new"))).otherwise(F.col("__old"))
+    return both.select(F.coalesce("__b", "__p").alias(key), value.alias("value")).where("value is not null")
+
+
 def rename_columns(columns: list[str], renamed: dict[str, str]) -> list[str]:
     return [renamed.get(c, c) for c in columns]
 

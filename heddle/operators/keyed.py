@@ -37,6 +37,37 @@ def set_many(table: DataFrame, rows: DataFrame, only: str | None = None) -> Data
     return both.select(*[F.coalesce("key", "__k").alias("key") if c == "key" else value.alias("value") if c == "value" else F.col(c) for c in table.columns])
 
 
+def get_set(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GETSET of (key, value): (table after, the old value of each key, null if it was missing)."""
+    return set_many(table, rows), rows.select("key").join(table.select("key", F.col("value").alias("old")), "key", "left")
+
+
+def delete(table: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DEL of (key), and GETDEL: (table after, the rows that went)."""
+    return table.join(keys.select("key"), "key", "left_anti"), table.join(keys.select("key"), "key", "left_semi")
+
+
+def get_expire(table: DataFrame, stamps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GETEX of (key, stamp): (table with those keys' new stamps, 0 to persist, the values read)."""
+    new = stamps.select(F.col("key").alias("__k"), F.col("stamp").alias("__s"))
+    both = table.join(new, F.col("key") == F.col("__k"), "left")
+    after = both.withColumn("expires_at", F.coalesce("__s", "expires_at")).select(*table.columns)
+    return after, both.where("__k is not null").select("key", "value")
+
+
+def run_batch(tables: dict[str, DataFrame], commands: list, discard: bool = False) -> dict[str, DataFrame]:
+    """MULTI, commands, EXEC: each command takes the tables as the ones before it left them and returns those that it changes.
+
+    A command that raises leaves all tables as they were, as DISCARD does: nothing is kept before the last one.
+    """
+    if discard:
+        return dict(tables)
+    after = dict(tables)
+    for command in commands:
+        after |= command(after)
+    return after
+
+
 def count_up(deltas: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """INCRBY: (key, value) after the sums of `deltas` (key, delta); a sum beyond 64 bits is an error, as ANSI sums are."""
     rows = deltas.select("key", F.col("delta").cast("long").alias("delta"))
@@ -73,6 +104,12 @@ def hash_set(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.unionByName(rows.select(*table.columns)), added
 
 
+def hash_delete(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """HDEL of (key, field): (table after, fields deleted by key)."""
+    gone = table.join(rows.select("key", "field").distinct(), ["key", "field"], "left_semi")
+    return table.join(rows.select("key", "field"), ["key", "field"], "left_anti"), gone.groupBy("key").agg(F.count(F.lit(1)).alias("deleted"))
+
+
 # --- lists: (key, pos, value)
 
 
@@ -113,9 +150,25 @@ def set_add(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.unionByName(new), new.groupBy("key").agg(F.count(F.lit(1)).alias("added"))
 
 
+def set_remove(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SREM, ZREM: (table after, members removed by key)."""
+    gone = rows.select("key", "member").distinct()
+    removed = table.join(gone, ["key", "member"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("removed"))
+    return table.join(gone, ["key", "member"], "left_anti"), removed
+
+
 # --- sorted sets: (key, member, score)
 
 
+def zset_score(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """ZSCORE of (key, member): the score, null if there is no such member."""
+    return wanted.select("key", "member").join(table, ["key", "member"], "left").select("key", "member", "score")
+
+
+def zset_card(table: DataFrame) -> DataFrame:
+    return table.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def zset_add(table: DataFrame, rows: DataFrame, only: str | None = None) -> tuple[DataFrame, DataFrame]:
     """ZADD: (table after, members added by key); `only` nx, xx, gt, lt."""
     old, new = table.withColumnRenamed("score", "__old"), rows.select("key", "member", F.col("score").alias("__new"))

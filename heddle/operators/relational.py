@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import glob_to_regex
+from heddle.session import scratch
 
 
 def point_lookup(df: DataFrame, key_col: str, key) -> DataFrame:
@@ -16,8 +17,8 @@ def point_lookup(df: DataFrame, key_col: str, key) -> DataFrame:
 def multi_get(df: DataFrame, key_col: str, keys: list) -> DataFrame:
     """A row for each of `keys`, in order and with repeats; nulls where a key is missing.
 
-    The keys come from the caller's statement, so their table is as small as that, and is broadcast
-    to find the rows; the few rows found are then joined back to the keys.
+    The keys come from the caller's statement: they filter the scan as literals, and the few rows found
+    are then joined back to the keys.
     """
     spark, kind = df.sparkSession, df.schema[key_col].dataType.simpleString()
     wanted = spark.createDataFrame(list(enumerate(keys)), f"ordinal int, `{key_col}` {kind}")
@@ -61,10 +62,14 @@ def chunks(df: DataFrame, order_col: str, size: int) -> DataFrame:
     """`df` with `chunk`, numbered batches of 1 to 500 rows in order.
 
     Rows are numbered by range partition: each partition numbers its own rows, and the partitions'
-    sizes, one row each, give the offsets; no single task sees the table.
+    sizes, one row each, give the offsets; no single task sees the table. The ranged rows are stored,
+    so that both sides of the join see the same partitions.
     """
     size = min(500, max(1, size))
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     return ranged.join(F.broadcast(before), "__p").withColumn("chunk", F.floor((F.col("__b") + F.col("__i")) / size)).drop("__p", "__i", "__b", "__n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import vectors
@@ -41,6 +44,45 @@ def text_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", tex
     return found.select("id", F.round(score, digits).alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
 
 
+def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> str:
+    """An inverted index below `path`: postings (bucket, term, id, tf), terms (bucket, term, df), stats (n).
+
+    Postings are dealt by range of bucket, term and id, so that a word of all documents fills many files
+    and not one task, and are stored in folders by bucket, in order of term: a query reads its terms'
+    row groups of its terms' buckets. Documents are tokenised once, here.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    rows = postings(docs, id_col, text_col).withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+    docs.agg(F.count(F.lit(1)).alias("n"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+    return path
+
+
+_POSTINGS = "id string, term string, tf long, bucket int"
+
+
+def index_search(spark: SparkSession, path: str, query: str, k: int, digits: int = 5) -> DataFrame:
+    """text_search by an index: what is read grows with the postings of the query's terms, not with the corpus."""
+    asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    words = {r.term: r.times for r in asked.collect()}  # the query's own words
+    if not words:
+        return spark.createDataFrame([], "id string, score double")
+    stats = spark.read.schema("n long, buckets int").parquet(f"{path}/stats").first()
+    places = {r.term: r.bucket for r in spark.createDataFrame([(w,) for w in words], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int").alias("bucket")).collect()}
+    here = F.col("bucket").isin(*set(places.values())) & F.col("term").isin(*words)
+    found = {r.term: r.df for r in spark.read.schema("bucket int, term string, df long").parquet(f"{path}/terms").where(here).collect()}  # a row a word
+    if not found:
+        return spark.createDataFrame([], "id string, score double")
+    weight = F.lit(0.0)
+    for w, df in found.items():
+        weight = F.when(F.col("term") == w, F.lit(words[w] * math.log(1 + stats.n / (df + 0.5)))).otherwise(weight)
+    hits = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(here)
+    scored = hits.groupBy("id").agg(F.sum(weight * F.col("tf") / (F.col("tf") + 1.2)).alias("score"))
+    return scored.select("id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
+
+
 def exact_search(space: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 5) -> DataFrame:
     """The k vectors of largest cosine; ids break ties as text. Vectors that aren't valid in the space are left out."""
     if not any(query):
@@ -51,43 +93,129 @@ def exact_search(space: DataFrame, query: list[float], k: int, id_col: str = "ve
     return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
 
 
-#: Below so many live vectors a partition the index would compare them all anyway.
-EXACT_BELOW = 2048
-
-
-def ann_search(space: DataFrame, query: list[float], k: int, ef: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", partitions: int = 1, tables: int = 8, bucket: float = 0.5) -> DataFrame:
-    """Approximate nearest neighbours: random-projection buckets give candidates, which are ranked exactly.
+def exact_search_all(space: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 5, dim: int = 64) -> DataFrame:
+    """exact_search for a set of queries (query, vector), a few thousand at most: (query, id, score).
 
-    Where the space holds at most min(ef * M * 2, EXACT_BELOW) vectors a partition (M is 32 from 64
-    dimensions on, else 16), or the buckets give fewer than max(k, ef) candidates, it is the exact search.
+    The queries go to all tasks as one matrix; each batch of vectors is compared with it and only its
+    own best k of each query leave the task.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    spark, k = queries.sparkSession, clamp_k(k)
+    asked = queries.where(vectors.valid(F.col("vector"), dim)).select("query", vectors.normalised(F.col("vector")).alias("v")).toArrow()
+    ids, matrix = asked["query"].to_pylist(), np.array(asked["v"].to_pylist(), float).reshape(-1, dim)
+    told = spark.sparkContext.broadcast((ids, matrix))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, matrix = told.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            unit = b.column(1).values.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :dim].astype(float)
+            score, names = np.round(matrix @ unit.T, digits), np.array(b.column(0).to_pylist(), object)
+            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names)), score.shape), -score), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            at = order.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(names[at].tolist(), pa.string()), pa.array(score[rows, at])], names=["query", "id", "score"])
+
+    live = space.where(vectors.valid(F.col(vector_col), dim)).select(F.col(id_col).cast("string").alias("id"), vectors.normalised(F.col(vector_col)).alias("unit"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return live.mapInArrow(run, "query long, id string, score double").withColumn("r", best).where(F.col("r") <= k).drop("r")
+
+
+#: Below so many live vectors a partition an index would compare them all anyway.
+EXACT_BELOW = 2048
+#: Vectors, at most, on which the lists' centres are fitted and the probes chosen; every vector is in a list.
+CENTRE_SAMPLE, PROBE_SAMPLE, PROBE_QUERIES = 50_000, 20_000, 200
+#: The recall of the ten nearest that an index is built for.
+RECALL = 0.97
+
+
+def _share_to_probe(points: np.ndarray, centres: np.ndarray) -> float:
+    """The least share of the lists, in sixteenths, in which PROBE_QUERIES of the points find RECALL of their ten nearest."""
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    at = (unit @ centres.T).argmax(1)
+    asked = unit[np.random.default_rng(7).permutation(len(unit))[:PROBE_QUERIES]]
+    near = np.argsort(-(asked @ unit.T), axis=1)[:, :10]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each list in a query's order
+    needed = np.take_along_axis(place, at[near], 1)
+    for sixteenths in range(1, 16):
+        if (needed < math.ceil(sixteenths * len(centres) / 16)).mean() >= RECALL:
+            return sixteenths / 16
+    return 1.0
+
+
+def write_vector_index(space: DataFrame, path: str, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> str:
+    """An index that outlives its queries, below `path`: centres (list, centre), vectors (list, id, unit) in order of list, stats (n, dim, share).
+
+    There are about as many lists as vectors in a list. Centres are fitted on at most CENTRE_SAMPLE
+    vectors, and the share of the lists that a query reads on at most PROBE_SAMPLE; all vectors are
+    normalised once and go to the list of their nearest centre. Where directions are spread evenly that
+    share is large, and with it the cost; where they lie in groups it is small.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
 
+    spark = space.sparkSession
+    live = space.where(vectors.valid(F.col(vector_col), dim)).select(F.col(id_col).cast("string").alias("id"), vectors.normalised(F.col(vector_col)).alias("unit"))
+    n = live.count()
+    lists = max(2, round(n**0.5))
+    at = live.withColumn("point", array_to_vector(F.col("unit").cast("array<double>")))
+    sampled = lambda most: at if n <= most else at.sample(most / n, seed=seed)
+    model = KMeans(k=lists, maxIter=10, seed=seed, featuresCol="point", predictionCol="list", distanceMeasure="cosine").fit(sampled(CENTRE_SAMPLE).select("point")) if n else None
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())] if model else []
+    spark.createDataFrame(centres, "list int, centre array<double>").write.parquet(f"{path}/centres")
+    share = 1.0
+    if model:
+        points = sampled(PROBE_SAMPLE).select("unit").limit(2 * PROBE_SAMPLE).toArrow()["unit"].combine_chunks()
+        share = _share_to_probe(points.values.to_numpy().reshape(-1, dim).astype(float), np.array([c for _, c in centres]))
+    spark.createDataFrame([(n, dim, share)], "n long, dim int, share double").write.parquet(f"{path}/stats")
+    placed = model.transform(at).select("list", "id", "unit") if model else at.select(F.lit(0).alias("list"), "id", "unit")
+    placed.repartitionByRange("list", "id").sortWithinPartitions("list", "id").write.parquet(f"{path}/vectors")
+    return path
+
+
+def index_nearest(spark: SparkSession, path: str, query: list[float], k: int, ef: int = 64, partitions: int = 1, digits: int = 5) -> DataFrame:
+    """Approximate nearest neighbours by an index: the lists whose centres are nearest are read and ranked exactly.
+
+    They are the share of the lists that the index was built to need, and at least as many as hold about
+    max(k, ef) vectors. A space of at most min(ef * M * 2, EXACT_BELOW) vectors a partition (M is 32 from 64
+    dimensions on, else 16) is searched whole.
+    """
+    stats = spark.read.schema("n long, dim int, share double").parquet(f"{path}/stats").first()
+    if len(query) != stats.dim or not any(query):
+        raise ValueError("the query isn't a vector of the space")
     k, ef = clamp_k(k), min(256, max(clamp_k(k), ef))
-    limit = min(ef * (32 if len(query) >= 64 else 16) * 2, EXACT_BELOW) * partitions
-    live = space.where(vectors.valid(F.col(vector_col), len(query)))
-    if live.limit(limit + 1).count() <= limit:
-        return exact_search(space, query, k, id_col, vector_col)
-    unit = live.select(F.col(id_col), F.col(vector_col), array_to_vector(vectors.normalised(F.col(vector_col)).cast("array<double>")).alias("__u"))
-    model = BucketedRandomProjectionLSH(inputCol="__u", outputCol="__h", numHashTables=tables, bucketLength=bucket, seed=7).fit(unit)
-    size = sum(x * x for x in query) ** 0.5
-    probe = model.transform(space.sparkSession.createDataFrame([(Vectors.dense([x / size for x in query]),)], ["__u"])).first()["__h"]
-    hashed = model.transform(unit)
-    near = F.lit(False)
-    for i, h in enumerate(probe):
-        near = near | (vectors_of(F.col("__h")[i]) == float(h[0]))
-    candidates = hashed.where(near).select(id_col, vector_col)
-    if candidates.limit(max(k, ef)).count() < max(k, ef):
-        return exact_search(space, query, k, id_col, vector_col)
-    return exact_search(candidates, query, k, id_col, vector_col)
-
-
-def vectors_of(column):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(column)[0]
+    rows = spark.read.schema("list int, id string, unit array<float>").parquet(f"{path}/vectors")
+    if stats.n > min(ef * (32 if stats.dim >= 64 else 16) * 2, EXACT_BELOW) * partitions:
+        centres = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres")
+        score = vectors.cosine_constant(F.col("centre"), query) / vectors.norm(F.col("centre"))
+        chosen = centres.select("list", score.alias("s")).orderBy(F.desc("s"), "list").limit(_probes(stats, ef)).collect()  # at most the square root of the vectors
+        rows = rows.where(F.col("list").isin(*[r.list for r in chosen]))
+    score = F.round(vectors.cosine_constant(F.col("unit"), query), digits)
+    return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def _probes(stats, ef: int) -> int:
+    lists = max(2, round(stats.n**0.5))
+    return min(lists, max(math.ceil(stats.share * lists), math.ceil(ef * lists / max(1, stats.n))))
+
+
+def index_nearest_all(queries: DataFrame, path: str, k: int, ef: int = 64, digits: int = 5) -> DataFrame:
+    """The same for a set of queries (query, vector): (query, id, score), always by lists. Queries meet the centres, and their lists' vectors in one join on the list."""
+    spark, k = queries.sparkSession, clamp_k(k)
+    stats = spark.read.schema("n long, dim int, share double").parquet(f"{path}/stats").first()
+    centres = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres")
+    rows = spark.read.schema("list int, id string, unit array<float>").parquet(f"{path}/vectors")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    asked = queries.where(vectors.valid(F.col("vector"), stats.dim)).select("query", vectors.normalised(F.col("vector")).alias("v"))
+    met = asked.crossJoin(F.broadcast(centres)).select("query", "v", "list", (dot(F.col("v"), F.col("centre")) / vectors.norm(F.col("centre"))).alias("s"))  # centres: the square root of the vectors
+    nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "list"))
+    chosen = met.withColumn("r", nearest).where(F.col("r") <= _probes(stats, ef)).select("query", "v", "list")
+    scored = rows.join(chosen, "list").select("query", "id", F.round(dot(F.col("v"), F.col("unit")), digits).alias("score"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("r", best).where(F.col("r") <= k).drop("r")
 
 
 def latest_vectors(writes: DataFrame, id_col: str, seq_col: str, vector_col: str) -> DataFrame:

@@ -76,10 +76,17 @@ def write_conflicts(writes: DataFrame, commits: DataFrame, key: str = "pk") -> D
 
 
 def ledger_breaks(ledger: DataFrame) -> DataFrame:
-    """Entries of a hash-chained migration ledger (version, id, sql, parent_checksum, checksum) that break it."""
+    """Entries of a hash-chained migration ledger (version, id, sql, parent_checksum, checksum) that break it.
+
+    Each entry meets the one of the version before it in a join, so that versions must be dense from 1;
+    ids and versions must be unique.
+    """
     from heddle.functions.hashes import fnv1a64
 
-    w = Window.orderBy("version")
-    told = ledger.withColumn("want_parent", F.coalesce(F.lag("checksum").over(w), F.lit(""))).withColumn("want_version", F.row_number().over(w).cast("long"))
-    told = told.withColumn("want", fnv1a64(F.concat("parent_checksum", "id", "sql")))
-    return told.where((F.col("parent_checksum") != F.col("want_parent")) | (F.col("version") != F.col("want_version")) | (F.col("checksum") != F.col("want"))).select(*ledger.columns)
+    before = ledger.select((F.col("version") + 1).alias("__v"), F.col("checksum").alias("__c"))
+    told = ledger.join(before, F.col("version") == F.col("__v"), "left").withColumn("__want", fnv1a64(F.concat("parent_checksum", "id", "sql")))
+    first = F.col("version") == 1
+    broken = F.when(first, F.col("parent_checksum") != "").otherwise(~F.col("parent_checksum").eqNullSafe(F.col("__c"))) | (F.col("checksum") != F.col("__want")) | (F.col("version") < 1)
+    repeated = ledger.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("id").alias("__id"))
+    told = told.join(repeated, F.col("id") == F.col("__id"), "left")
+    return told.where(broken | F.col("__id").isNotNull()).select(*ledger.columns).distinct()

@@ -106,10 +106,10 @@ def hash_keys_values(spark, d):
     return m.select("key", F.array_join(F.map_keys("fields"), ",").alias("keys"), F.array_join(F.map_values("fields").cast("array<string>"), ",").alias("vals"))
 
 
-@query(f"SELECT key, 1::BIGINT AS added FROM {_H} WHERE key % 2 = 0 GROUP BY key HAVING count(CASE WHEN field = 'error' THEN 1 END) = 0")
+@query(f"SELECT key, 1::BIGINT AS added FROM {_H} GROUP BY key HAVING count(CASE WHEN field = 'refund' THEN 1 END) = 0")
 def hash_set_added(spark, d):
     h = _hash(spark, d)
-    return K.hash_set(h, h.where("key % 2 = 0").select("key", F.lit("error").alias("field"), F.lit(0).cast("long").alias("value")).distinct())[1]
+    return K.hash_set(h, h.select("key", F.lit("refund").alias("field"), F.lit(0).cast("long").alias("value")).distinct())[1]
 
 
 @query(f"SELECT * FROM {_H} WHERE field <> 'view'")
@@ -134,10 +134,10 @@ def list_length(spark, d):
     return _list(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT key, pos, value FROM {_L} UNION ALL SELECT key, min(pos) - 1, 'first' FROM {_L} WHERE key < 50 GROUP BY key UNION ALL SELECT key, min(pos) - 2, 'second' FROM {_L} WHERE key < 50 GROUP BY key")
+@query(f"SELECT key, pos, value FROM {_L} UNION ALL SELECT key, min(pos) - 1, 'first' FROM {_L} GROUP BY key UNION ALL SELECT key, min(pos) - 2, 'second' FROM {_L} GROUP BY key")
 def list_push_left(spark, d):
     t = _list(spark, d)
-    keys = t.where("key < 50").select("key").distinct()
+    keys = t.select("key").distinct()
     rows = keys.select("key", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("first").alias("value")), F.struct(F.lit(1).alias("pos"), F.lit("second").alias("value")))).alias("x")).select("key", F.col("x.pos").cast("long").alias("pos"), "x.value")
     return K.push(t, rows, left=True)
 
@@ -163,10 +163,10 @@ def set_members(spark, d):
     return s.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("member")), ",").alias("members"))
 
 
-@query("SELECT l_suppkey AS key, 1::BIGINT AS added FROM lineitem WHERE l_suppkey < 40 GROUP BY 1 HAVING count(CASE WHEN l_partkey = 1 THEN 1 END) = 0")
+@query("SELECT l_suppkey AS key, 1::BIGINT AS added FROM lineitem GROUP BY 1 HAVING count(CASE WHEN l_partkey = 1 THEN 1 END) = 0")
 def set_add_count(spark, d):
     s = _set(spark, d)
-    return K.set_add(s, s.where("key < 40").select("key", F.lit(1).cast("long").alias("member")))[1]
+    return K.set_add(s, s.select("key", F.lit(1).cast("long").alias("member")))[1]
 
 
 @query("SELECT l_suppkey AS key, bool_or(l_partkey = 5) AS yes FROM lineitem GROUP BY 1")
@@ -283,12 +283,18 @@ def geo_position(spark, d):
     return p.select("member", ((F.abs(F.col("p.lon") - F.col("lon")) < 1e-5) & (F.abs(F.col("p.lat") - F.col("lat")) < 1e-5)).alias("near"))
 
 
-@query()
+_GBITS = " + ".join(f"((((floor((lon + 180) / 360 * 33554432)::BIGINT >> {k}) & 1) << {2 * k + 1}) + (((floor((lat + 90) / 180 * 33554432)::BIGINT >> {k}) & 1) << {2 * k}))" for k in range(25))
+
+
+@query(f"SELECT member, list_aggregate(list_transform(range(0, 10), lambda k: substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + ((b >> (45 - 5 * k::INT)) & 31)::INT, 1)), 'string_agg', '') || '0' AS hash FROM (SELECT member, {_GBITS} AS b FROM {_P})")
 def geo_hash(spark, d):
     return points(spark, d).select("member", geo.geohash(F.col("lon"), F.col("lat")).alias("hash"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ascii(substr(c_name, i::INT, 1))::HUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)"
+
+
+@query(f"SELECT c_custkey, printf('%016x', h::UBIGINT) AS fnv1a, (h % 16)::INT AS partition FROM (SELECT c_custkey, {_FNV} AS h FROM customer)")
 def hash_route(spark, d):
     return load(spark, d, "customer").select("c_custkey", hashes.fnv1a64(F.col("c_name")).alias("fnv1a"), hashes.route(F.col("c_name"), 16).alias("partition"))
 
@@ -334,11 +340,11 @@ def stream_read(spark, d):
     return K.with_id(K.stream_range(stream(spark, d).where("key = 'view'"), "(50-9223372036854775807")).orderBy("__id").limit(40).select("key", "id")
 
 
-_DEL = "(SELECT key, id, arrival, 'c' || (user_id % 3) AS consumer FROM " + _X + " WHERE arrival < 600)"
+_DEL = "(SELECT key, id, arrival, 'c' || (user_id % 3) AS consumer FROM " + _X + ")"
 
 
 def _group(spark, d):
-    s = stream(spark, d).where("arrival < 600")
+    s = stream(spark, d)
     deliveries = s.select("key", F.lit("g").alias("group"), "id", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), F.col("arrival").alias("delivered_at"))
     acks = s.where("arrival % 5 <> 0").select("key", F.lit("g").alias("group"), "id")
     return s, K.pending(deliveries, acks)
@@ -379,3 +385,87 @@ def stream_info(spark, d):
 def stream_delete(spark, d):
     s = stream(spark, d)
     return s.join(s.where("arrival % 2 = 1").select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
+
+
+@query(f"SELECT n.key, t.value AS old FROM {_N} LEFT JOIN {_S} ON t.key = n.key")
+def str_get_set(spark, d):
+    return K.get_set(strings(spark, d).select("key", "value"), _new_strings(spark, d))[1]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value, CASE WHEN c_nationkey < 5 THEN 99 ELSE 0 END::BIGINT AS expires_at FROM customer")
+def str_get_expire(spark, d):
+    """GETEX gives some keys a stamp and persists the others."""
+    c = load(spark, d, "customer")
+    stamps = c.select(F.col("c_custkey").cast("string").alias("key"), F.when(F.col("c_nationkey") < 5, 99).otherwise(0).cast("long").alias("stamp"))
+    after, read = K.get_expire(strings(spark, d).withColumn("expires_at", F.col("expires_at").cast("long")), stamps)
+    return after.join(read.select("key"), "key", "left_semi")
+
+
+@query(f"SELECT 'left' AS what, count(*) AS n FROM {_S} WHERE key NOT IN (SELECT key FROM {_N}) UNION ALL SELECT 'deleted', count(*) FROM {_S} WHERE key IN (SELECT key FROM {_N})")
+def str_delete(spark, d):
+    """DEL, and GETDEL, which returns what goes."""
+    after, gone = K.delete(strings(spark, d).select("key", "value"), _new_strings(spark, d))
+    return after.agg(F.lit("left").alias("what"), F.count(F.lit(1)).alias("n")).unionByName(gone.agg(F.lit("deleted").alias("what"), F.count("value").alias("n")))
+
+
+@query(f"SELECT key, count(*) AS deleted FROM {_H} WHERE field IN ('view', 'error') GROUP BY key")
+def hash_delete_count(spark, d):
+    h = _hash(spark, d)
+    return K.hash_delete(h, h.select("key").distinct().withColumn("field", F.explode(F.array(F.lit("view"), F.lit("error"), F.lit("nothing")))))[1]
+
+
+@query(f"SELECT key, pos, value FROM {_L} UNION ALL SELECT key, max(pos) + 1, 'first' FROM {_L} GROUP BY key UNION ALL SELECT key, max(pos) + 2, 'second' FROM {_L} GROUP BY key")
+def list_push_right(spark, d):
+    t = _list(spark, d)
+    rows = t.select("key").distinct().withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("first").alias("value")), F.struct(F.lit(1).alias("pos"), F.lit("second").alias("value")))))
+    return K.push(t, rows.select("key", F.col("x.pos").cast("long").alias("pos"), "x.value"))
+
+
+@query(f"SELECT key, pos, value FROM {_L} WHERE key = (SELECT min(o_custkey) FROM orders) AND i = 0")
+def list_pop_left(spark, d):
+    t = _list(spark, d)
+    return K.pop(t, t.agg(F.min("key")).first()[0])[1]
+
+
+@query("SELECT l_suppkey AS key, count(DISTINCT l_partkey) AS removed FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1")
+def set_remove(spark, d):
+    s, small = _set(spark, d), load(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("member"))
+    return K.set_remove(s, s.join(small, "member", "left_semi"))[1]
+
+
+@query(f"SELECT key, count(*) AS n FROM {_Z} WHERE score > 3 GROUP BY key")
+def zset_remove_card(spark, d):
+    """ZREM of the low scores, then ZCARD."""
+    z = zset(spark, d)
+    return K.zset_card(K.set_remove(z, z.where("score <= 3"))[0])
+
+
+@query(f"SELECT k.key, k.member, z.score FROM (SELECT DISTINCT event_type AS key, m AS member FROM events, (VALUES ('1'), ('2'), ('nobody')) v(m)) k LEFT JOIN {_Z} z ON z.key = k.key AND z.member = k.member")
+def zset_score(spark, d):
+    z = zset(spark, d)
+    wanted = z.select("key").distinct().withColumn("member", F.explode(F.array(F.lit("1"), F.lit("2"), F.lit("nobody"))))
+    return K.zset_score(z, wanted)
+
+
+@query(f"SELECT 'after' AS what, coalesce(t.key, n.key) AS key, coalesce(n.value, t.value) || '!' AS value FROM {_S} FULL JOIN {_N} ON t.key = n.key UNION ALL SELECT 'discarded', key, value FROM {_S}")
+def exec_batch(spark, d):
+    """MULTI, a SET and an APPEND to what it left, EXEC; a batch that is discarded, or whose last command fails, changes nothing."""
+    tables = {"s": strings(spark, d).select("key", "value")}
+    commands = [lambda t: {"s": K.set_many(t["s"], _new_strings(spark, d))}, lambda t: {"s": t["s"].withColumn("value", F.concat("value", F.lit("!")))}]
+
+    def fails(t):
+        raise ValueError("wrong kind of value")
+
+    try:
+        K.run_batch(tables, [*commands, fails])
+        raise AssertionError("the batch went through")
+    except ValueError:
+        pass
+    after, same = K.run_batch(tables, commands)["s"], K.run_batch(tables, commands, discard=True)["s"]
+    return after.select(F.lit("after").alias("what"), "*").unionByName(same.select(F.lit("discarded").alias("what"), "*"))
+
+
+@query(f"SELECT member, format('{{:.4f}}', {_H15}) AS m, format('{{:.4f}}', {_H15} / 1000) AS km, format('{{:.4f}}', {_H15} / 1609.344) AS mi, format('{{:.4f}}', {_H15} / 0.3048) AS ft FROM {_P}")
+def geo_distance_units(spark, d):
+    metres = geo.haversine(F.lit(13.3), F.lit(38.1), F.col("lon"), F.col("lat"))
+    return points(spark, d).select("member", *[geo.distance_text(metres, u).alias(u) for u in ("m", "km", "mi", "ft")])

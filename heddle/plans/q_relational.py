@@ -89,12 +89,14 @@ def scan_chunks(spark, d):
     return R.chunks(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
 
 
-@query()
+@query("SELECT table_name FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(table_name)")
 def scan_tables(spark, d):
-    return spark.createDataFrame([(t,) for t in catalog.TABLES], "table_name string")
+    """The tables that the folder holds."""
+    return catalog.tables_in(spark, d)
 
 
-@query()
+@query("""SELECT 'lineitem' AS table_name, column_name, (row_number() OVER ())::INT AS ordinal_position,
+ CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS data_type, true AS is_nullable FROM (DESCRIBE lineitem)""")
 def scan_catalog_columns(spark, d):
     return catalog.columns_of(load(spark, d, "lineitem"), "lineitem")
 
@@ -120,7 +122,7 @@ def project_values(spark, d):
     return spark.sql("SELECT 1 AS one, 'x' AS word, CAST('42' AS BIGINT) AS number, CAST(NULL AS INT) AS nothing, true AS yes")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('current_database', 'heddle'), ('current_schema', 'public'), ('current_user', 'heddle'), ('session_user', 'heddle'), ('version', 'heddle 0.1.0')) t(name, value)")
 def project_session_values(spark, d):
     return spark.createDataFrame(sorted(catalog.session_values().items()), "name string, value string")
 
@@ -156,10 +158,10 @@ def where_distinct_from(spark, d):
     return load(spark, d, "customer").where(~a.eqNullSafe(b) & F.nullif(F.col("c_nationkey"), F.lit(3)).isNotNull()).select("c_custkey")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL AND event_type = 'click'")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
 def where_json_path(spark, d):
-    page = F.get_json_object("props", "$.page")
-    return load(spark, d, "events").where(page.isNotNull() & (F.col("event_type") == "click")).select("event_id", page.alias("page"))
+    page = F.get_json_object("props", "$.k")
+    return load(spark, d, "events").where(page.isNotNull() & (F.col("event_type") == "click")).select("event_id", page.alias("k"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 1000 AND s_name <> '$1' AND s_nationkey = 5")
@@ -179,16 +181,12 @@ def join_inner(spark, d):
     return load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
-_SIDES = """
-SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) s
-{} JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60) c ON s_suppkey = c_custkey
-"""
+_SIDES = "SELECT s_suppkey, c_custkey FROM supplier {} JOIN customer ON s_suppkey = c_custkey + 5"
 
 
 def _sides(spark, d, how):
-    s = load(spark, d, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey")
-    c = load(spark, d, "customer").where("c_custkey % 3 = 0 and c_custkey < 60").select("c_custkey")
-    return s.join(c, F.col("s_suppkey") == F.col("c_custkey"), how)
+    s, c = load(spark, d, "supplier").select("s_suppkey"), load(spark, d, "customer").select("c_custkey")
+    return s.join(c, F.col("s_suppkey") == F.col("c_custkey") + 5, how)
 
 
 @query(_SIDES.format("LEFT"))
@@ -212,21 +210,20 @@ def join_semi(spark, d):
     return load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def join_fk_orphans(spark, d):
-    return R.orphans(load(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", load(spark, d, "customer").where("c_custkey % 5 <> 0"), "c_custkey").select("o_orderkey", "o_custkey")
+    return R.orphans(load(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", load(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), "c_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("""
 SELECT coalesce(n.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE b.c_name END AS c_name
-FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 100) b
-FULL JOIN (SELECT c_custkey, 'new ' || c_name AS c_name, c_custkey % 4 = 0 AS deleted FROM customer WHERE c_custkey BETWEEN 80 AND 140) n ON b.c_custkey = n.c_custkey
+FROM customer b FULL JOIN (SELECT c_custkey * 2 AS c_custkey, 'new ' || c_name AS c_name, c_nationkey < 5 AS deleted FROM customer) n ON b.c_custkey = n.c_custkey
 WHERE NOT coalesce(deleted, false)
 """)
 def join_overlay(spark, d):
-    c = load(spark, d, "customer").select("c_custkey", "c_name")
-    newer = c.where("c_custkey between 80 and 140").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_custkey") % 4 == 0).alias("deleted"))
-    return R.overlay(c.where("c_custkey <= 100"), newer, "c_custkey")
+    c = load(spark, d, "customer")
+    newer = c.select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_nationkey") < 5).alias("deleted"))
+    return R.overlay(c.select("c_custkey", "c_name"), newer, "c_custkey")
 
 
 _RANGES = "(VALUES (1, 0, 100), (2, 100, 450), (3, 600, NULL)) AS r(range_id, a, b)"
@@ -282,9 +279,9 @@ def agg_group_with_null(spark, d):
     return load(spark, d, "lineitem").groupBy(F.nullif(F.col("l_returnflag"), F.lit("A")).alias("flag")).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("SELECT json_extract_string(props, '$.page') AS page, count(*) AS count FROM events GROUP BY 1 HAVING count(*) > 3")
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS count FROM events GROUP BY 1 HAVING count(*) > 3")
 def agg_group_json_having(spark, d):
-    return load(spark, d, "events").groupBy(F.get_json_object("props", "$.page").alias("page")).agg(F.count(F.lit(1)).alias("count")).where("count > 3")
+    return load(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("count")).where("count > 3")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY 1, 2")
@@ -310,9 +307,9 @@ def page_nulls_first(spark, d):
     return R.page(c, [F.col("seg").desc_nulls_first(), F.asc("c_custkey")], 40)
 
 
-@query("SELECT event_id FROM events ORDER BY json_extract_string(props, '$.page') NULLS LAST, event_id LIMIT 30")
+@query("SELECT event_id FROM events ORDER BY json_extract_string(props, '$.k') NULLS LAST, event_id LIMIT 30")
 def page_json_order(spark, d):
-    return load(spark, d, "events").orderBy(F.get_json_object("props", "$.page").asc_nulls_last(), "event_id").limit(30).select("event_id")
+    return load(spark, d, "events").orderBy(F.get_json_object("props", "$.k").asc_nulls_last(), "event_id").limit(30).select("event_id")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0")
@@ -325,11 +322,11 @@ def page_top_k(spark, d):
     return R.page(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 100)
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 <> 0"
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0"
 
 
 def _ab(spark, d):
-    return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")), load(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_nationkey").alias("k"))
+    return load(spark, d, "customer").select(F.col("c_nationkey").alias("k")), load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
 
 
 @query(f"{_A} UNION {_B}")
@@ -356,9 +353,9 @@ def set_intersect_all(spark, d):
     return a.intersectAll(b)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def set_except(spark, d):
-    return load(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(load(spark, d, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    return load(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(load(spark, d, "supplier").where("s_acctbal > 8000").select("s_nationkey"))
 
 
 @query(f"{_A} EXCEPT ALL {_B}")

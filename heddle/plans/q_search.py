@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heddle.functions import vectors
 from heddle.operators import search as S
 from heddle.plans.base import query
-from heddle.session import load
+from heddle.session import load, scratch
 
 _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
@@ -23,14 +23,35 @@ SELECT id, round(sum(times * ln(1 + n / (df + 0.5)) * tf / (tf + 1.2)), 5) AS sc
 GROUP BY id ORDER BY score DESC, id LIMIT {k}"""
 
 
+#: Indexes stay for a session: (application, folder, kind) -> where.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, d, kind, write) -> str:
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _INDEXES:
+        _INDEXES[key] = write(scratch(spark))
+    return _INDEXES[key]
+
+
+def text_index(spark, d) -> str:
+    return _index(spark, d, "text", lambda path: S.write_text_index(load(spark, d, "documents"), path))
+
+
 @query(_text_sql({"the": 1}, 10))
 def text_one_term(spark, d):
-    return S.text_search(load(spark, d, "documents"), "The", 10)
+    return S.index_search(spark, text_index(spark, d), "The", 10)
 
 
 @query(_text_sql({"the": 2, "la": 1, "der": 1, "zzz": 1}, 25))
 def text_many_terms(spark, d):
-    return S.text_search(load(spark, d, "documents"), "the La der, THE zzz!", 25)
+    return S.index_search(spark, text_index(spark, d), "the La der, THE zzz!", 25)
+
+
+@query(_text_sql({"der": 1, "les": 1}, 25))
+def text_without_index(spark, d):
+    """The same scores in one pass over the texts, for a corpus that has no index."""
+    return S.text_search(load(spark, d, "documents"), "der les", 25)
 
 
 @query("SELECT '' AS id, 0.0::DOUBLE AS score WHERE false")
@@ -63,9 +84,38 @@ def vector_exact_filtered(spark, d):
     return S.exact_search(load(spark, d, "embeddings").where("label = 3"), query_vector(spark, d), 1000)
 
 
-@query(_vector_sql(10))
+def _wide(spark, d):
+    """Eight vectors of each: its components turned round, so that the index has more than an exact search takes."""
+    turns = F.array(*[F.struct(F.lit(i).alias("turn"), F.concat(F.slice("embedding", i * 8 + 1, 64 - i * 8), F.slice("embedding", 1, i * 8) if i else F.array().cast("array<float>")).alias("v")) for i in range(8)])
+    return load(spark, d, "embeddings").select("vec_id", F.explode(turns).alias("t")).select((F.col("vec_id") * 8 + F.col("t.turn")).alias("vec_id"), F.col("t.v").alias("embedding"))
+
+
+def vector_index(spark, d) -> str:
+    return _index(spark, d, "vectors", lambda path: S.write_vector_index(_wide(spark, d), path, 64))
+
+
+@query("SELECT * FROM (SELECT CAST(vec_id * 8 AS VARCHAR) AS id, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id = 7)")
 def vector_ann(spark, d):
-    return S.ann_search(load(spark, d, "embeddings"), query_vector(spark, d), 10)
+    """By the stored index, over more vectors than are searched whole: a vector's nearest is itself."""
+    return S.index_nearest(spark, vector_index(spark, d), query_vector(spark, d), 1)
+
+
+@query("SELECT count(*) * 10 AS asked, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def vector_ann_recall(spark, d):
+    """Every twentieth vector's ten nearest by the index against the exact ones, over eight times the vectors: at least nine in ten are found."""
+    wide, path = _wide(spark, d), vector_index(spark, d)
+    queries = load(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = S.index_nearest_all(queries, path, 10)
+    want = S.exact_search_all(wide, queries, 10)
+    both = want.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("asked"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+@query(_vector_sql(100))
+def vector_ann_small(spark, d):
+    """A space below the index's threshold is searched whole."""
+    path = _index(spark, d, "small vectors", lambda path: S.write_vector_index(load(spark, d, "embeddings"), path, 64))
+    return S.index_nearest(spark, path, query_vector(spark, d), 100)
 
 
 @query("SELECT vec_id, label IS NOT NULL AND label % 2 = 0 AS valid FROM embeddings")

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from heddle.operators import versions as V
 from heddle.plans.base import query
 from heddle.plans.q_versions import log
-from heddle.session import load
-from heddle.sources import copytext, logs
-
-
-def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder, or, on a local master without one, a temporary one."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="heddle-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from heddle.session import load, remove
+from heddle.session import scratch as _folder
+from heddle.sources import copytext, logs, readers
 
 
 _ROW = r"c_custkey || chr(9) || CASE WHEN c_custkey % 5 = 0 THEN '\N' ELSE 'a\\b\tc\nd' || c_name END || chr(9) || c_nationkey"
@@ -88,17 +75,17 @@ def history_range(spark, d):
     return logs.import_history(spark, path).select(F.col("pk").cast("long").alias("pk"), "commit_ts")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS pk, max(event_id + 1) AS commit_ts FROM events WHERE event_id < 900 GROUP BY 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS pk, max(event_id + 1) AS commit_ts FROM events GROUP BY 1")
 def segment_merge(spark, d):
     """A snapshot and two deltas, merged to the newest version of each key; a superseded segment is left out."""
-    path, v = _folder(spark), log(spark, d).where("commit_ts <= 900").withColumn("pk", F.col("pk").cast("string"))
+    path, v = _folder(spark), log(spark, d).withColumn("pk", F.col("pk").cast("string"))
     logs.write_segment(v.where("commit_ts < 200"), path, 1, "delta")
     logs.write_segment(v.where("commit_ts < 500"), path, 2, "snapshot")
     logs.write_segment(v.where("commit_ts >= 500 and commit_ts < 800"), path, 3, "delta")
     logs.write_segment(v.where("commit_ts >= 800"), path, 4, "delta")
     rows = logs.read_segments(spark, path)
     live = logs.live_segments(rows.select("segment_id", "kind").distinct())
-    return V.newest(rows.join(F.broadcast(live.select("segment_id")), "segment_id", "left_semi").select("pk", "commit_ts", "value", "expires_at")).select("pk", "commit_ts")
+    return V.newest(rows.join(live.select("segment_id"), "segment_id", "left_semi").select("pk", "commit_ts", "value", "expires_at")).select("pk", "commit_ts")
 
 
 @query("SELECT event_id AS lsn, event_id // 8 AS commit_ts, event_type AS payload FROM events WHERE event_id > 300")
@@ -111,8 +98,56 @@ def wal_truncate(spark, d):
     return logs.read_wal(spark, f"{path}/b", 300)
 
 
-@query("SELECT 'none' AS file WHERE false")
+@query("SELECT 1::BIGINT AS damaged, count(*) AS rows FROM orders WHERE o_orderstatus = 'P'")
 def archive_check(spark, d):
+    """Of an archive with an object for each state, the one whose rows were changed is found, with the rows that it had."""
+    path = _folder(spark)
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    logs.archive(orders.repartition(1, "o_orderstatus"), path, by="o_orderstatus")
+    assert logs.damaged(spark, path).isEmpty()
+    remove(spark, f"{path}/objects/o_orderstatus=P")
+    orders.where("o_orderstatus = 'P' and o_orderkey > 10").select("o_orderkey").coalesce(1).write.parquet(f"{path}/objects/o_orderstatus=P")
+    return logs.damaged(spark, path).agg(F.countDistinct("file").alias("damaged"), F.sum("rows").alias("rows"))
+
+
+@query("SELECT c_custkey AS pk, c_name, c_acctbal FROM customer")
+def snapshot_round_trip(spark, d):
+    """A whole state of several tables, written as one snapshot and read back."""
     path = _folder(spark)
-    logs.archive(load(spark, d, "nation"), path)
-    return logs.damaged(spark, path)
+    logs.write_snapshot({"customer": load(spark, d, "customer"), "nation": load(spark, d, "nation")}, path)
+    tables = logs.read_snapshot(spark, path)
+    assert sorted(tables) == ["customer", "nation"] and tables["nation"].count() == load(spark, d, "nation").count()
+    return tables["customer"].select(F.col("c_custkey").alias("pk"), "c_name", "c_acctbal")
+
+
+@query("SELECT * FROM (VALUES (4::BIGINT, 'snapshot'), (5, 'delta'), (6, 'delta')) t(segment_id, kind)")
+def segment_prune(spark, d):
+    """Segments that the newest snapshot supersedes are removed from the store."""
+    path, v = _folder(spark), log(spark, d).withColumn("pk", F.col("pk").cast("string"))
+    for i, kind in enumerate(("delta", "snapshot", "delta", "snapshot", "delta", "delta"), 1):
+        logs.write_segment(v.where(F.col("commit_ts") % 6 == i - 1), path, i, kind)
+    assert logs.prune(spark, path) == 3
+    return logs.read_segments(spark, path).select("segment_id", "kind").distinct()
+
+
+_JSON_ROWS = "(SELECT 'k' || c_custkey AS key, c_name AS value FROM customer)"
+
+
+@query(f"SELECT 'docs' AS \"table\", key, value FROM {_JSON_ROWS}")
+def ingest_json(spark, d):
+    """Bulk JSON bodies {table, rows: [{key, value}]}, one a line; a body without a table, or a row without a key, is refused."""
+    c = load(spark, d, "customer").select(F.struct(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("value")).alias("r"), F.floor(F.col("c_custkey") / 100).alias("body"))
+    bodies = c.groupBy("body").agg(F.to_json(F.struct(F.lit("docs").alias("table"), F.collect_list("r").alias("rows"))).alias("value")).select("value")
+    return readers.ingest_json(bodies)
+
+
+@query("SELECT format, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('parquet'), ('orc'), ('csv'), ('json'), ('arrow'), ('jdbc')) f(format) WHERE o_orderstatus = 'O' GROUP BY format")
+def source_formats(spark, d):
+    """The same rows through Parquet, ORC, CSV, JSON, Arrow IPC files and JDBC, with the filter on the reader's side."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    out = None
+    for kind in ("parquet", "orc", "csv", "json", "arrow", "jdbc"):
+        back = readers.round_trip(orders, kind, _folder(spark)).where("o_orderstatus = 'O'")
+        part = back.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(kind).alias("format"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

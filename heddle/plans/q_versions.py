@@ -68,10 +68,10 @@ def branch_overlay(spark, d):
     return V.branch_read(v, own, 250)
 
 
-@query("SELECT 'only_left' AS side, n_nationkey, n_regionkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'only_right', n_nationkey, n_regionkey FROM nation WHERE n_nationkey > 20")
+@query("SELECT 'only_left' AS side, n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'only_right', n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 4")
 def branch_diff(spark, d):
     n = load(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    return V.branch_diff(n.where("n_nationkey <= 20"), n.where("n_nationkey >= 5"))
+    return V.branch_diff(n.where("n_regionkey <> 4"), n.where("n_regionkey <> 0"))
 
 
 @query("SELECT 300::BIGINT AS commit_ts, 'c' AS id")
@@ -84,10 +84,10 @@ def pitr_restore(spark, d):
     return V.restore(log(spark, d), 450)
 
 
-@query(f"SELECT a.pk, a.commit_ts AS tx_id, b.commit_ts AS other_ts FROM {_V} a JOIN {_V} b ON a.pk = b.pk AND b.commit_ts > a.commit_ts - 60 AND b.commit_ts < a.commit_ts WHERE a.commit_ts < 2000")
+@query(f"SELECT a.pk, a.commit_ts AS tx_id, b.commit_ts AS other_ts FROM {_V} a JOIN {_V} b ON a.pk = b.pk AND b.commit_ts > a.commit_ts - 60 AND b.commit_ts < a.commit_ts")
 def conflict_audit(spark, d):
     v = log(spark, d)
-    writes = v.where("commit_ts < 2000").select(F.col("commit_ts").alias("tx_id"), "pk", (F.col("commit_ts") - 60).alias("read_ts"), "commit_ts")
+    writes = v.select(F.col("commit_ts").alias("tx_id"), "pk", (F.col("commit_ts") - 60).alias("read_ts"), "commit_ts")
     return V.write_conflicts(writes, v).select("pk", "tx_id", "other_ts")
 
 
@@ -98,20 +98,26 @@ def txn_read_own_writes(spark, d):
     return R.overlay(base, staged, "pk").orderBy("pk").limit(50)
 
 
-@query("SELECT 'none' AS id WHERE false")
+@query("SELECT n_name AS id FROM nation WHERE n_nationkey = 7 UNION ALL SELECT n_name FROM nation WHERE n_nationkey IN (15, 16)")
 def ledger_verify(spark, d):
+    """A ledger of a migration for each nation: one whose text was changed later, one that is missing (the next has no parent), one that follows another parent."""
     from heddle.functions.hashes import fnv1a64_int
 
     rows, parent = [], ""
-    for i in range(1, 6):
-        checksum = f"{fnv1a64_int((parent + f'm{i}' + f'CREATE TABLE t{i}').encode()):016x}"
-        rows.append((i, f"m{i}", f"CREATE TABLE t{i}", parent, checksum))
+    names = [r.n_name for r in load(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]  # 25 rows
+    for i, name in enumerate(names, 1):
+        checksum = f"{fnv1a64_int((parent + name + f'CREATE TABLE t{i}').encode()):016x}"
+        rows.append((i, name, f"CREATE TABLE t{i}", parent, checksum))
         parent = checksum
+    rows[7] = (*rows[7][:2], "DROP TABLE t8", *rows[7][3:])
+    rows[16] = (17, rows[16][1], "x", "0", f"{fnv1a64_int(('0' + rows[16][1] + 'x').encode()):016x}")
+    rows[17] = (18, rows[17][1], rows[17][2], rows[16][4], f"{fnv1a64_int((rows[16][4] + rows[17][1] + rows[17][2]).encode()):016x}")
+    for i in range(18, len(rows)):
+        rows[i] = (*rows[i][:3], rows[i - 1][4], f"{fnv1a64_int((rows[i - 1][4] + rows[i][1] + rows[i][2]).encode()):016x}")
+    del rows[14]
     return V.ledger_breaks(spark.createDataFrame(rows, "version long, id string, sql string, parent_checksum string, checksum string")).select("id")
 
 
-
-
 @query("""SELECT CASE WHEN c_custkey % 10 = 1 THEN 'INSERT' WHEN c_custkey % 10 = 2 THEN 'DELETE' ELSE 'UPDATE' END AS op, c_custkey AS pk,
  CASE WHEN c_custkey % 10 = 1 THEN NULL ELSE c_name END AS before, CASE WHEN c_custkey % 10 = 2 THEN NULL WHEN c_custkey % 10 = 3 THEN upper(c_name) ELSE c_name END AS after
  FROM customer WHERE c_custkey % 10 IN (1, 2) OR (c_custkey % 10 = 3 AND upper(c_name) <> c_name)""")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heddle.plans import base, q_access, q_dml, q_keyed, q_relational, q_search, q_sources, q_stream, q_usage, q_versions
+from heddle.plans import base, q_access, q_catalog, q_dml, q_keyed, q_relational, q_search, q_sources, q_stream, q_usage, q_versions
 
-MODULES = (q_relational, q_access, q_dml, q_keyed, q_versions, q_search, q_usage, q_sources, q_stream)
+MODULES = (q_relational, q_access, q_dml, q_catalog, q_keyed, q_versions, q_search, q_usage, q_sources, q_stream)
 
 
 def queries():

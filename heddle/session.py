@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,19 @@ def session(app: str = "heddle", **conf: str) -> SparkSession:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table `table` below `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, or, on a local master without one, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="heddle-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

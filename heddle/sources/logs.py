@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.session import remove
+
 LOG = "pk string, commit_ts long, value string, expires_at long"
 
 
@@ -56,20 +58,41 @@ def truncate_wal(spark: SparkSession, path: str, target: str, through: int) -> N
     spark.read.schema("lsn long, commit_ts long, payload string").parquet(path).where(F.col("lsn") > through).write.parquet(target)
 
 
-def archive(df: DataFrame, path: str) -> DataFrame:
+def prune(spark: SparkSession, store: str, keep_snapshots: int = 1) -> int:
+    """Remove the segments that the newest kept snapshots supersede; how many. Readers that hold an older listing should be done."""
+    all_ = read_segments(spark, store).select("segment_id", "kind").distinct()
+    gone = all_.join(live_segments(all_, keep_snapshots).select("segment_id"), "segment_id", "left_anti").collect()  # a row a segment
+    for r in gone:
+        remove(spark, f"{store}/segment_id={r.segment_id}")
+    return len(gone)
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
+    """A whole state: every table in a folder of its own, and last a table of their names, so that a snapshot without one isn't whole."""
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/tables/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.parquet(f"{path}/names")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {r.name: spark.read.parquet(f"{path}/tables/{r.name}") for r in spark.read.parquet(f"{path}/names").collect()}
+
+
+def archive(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Rows to an object store, with a manifest (file, rows, checksum) to tell later if an object has changed."""
-    df.write.parquet(f"{path}/objects")
+    (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/objects")
     manifest(df.sparkSession, f"{path}/objects").write.parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    return rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("checksum"))
+    return rows.groupBy(F.regexp_extract(F.input_file_name(), "/objects/(.*)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("checksum"))
 
 
 def damaged(spark: SparkSession, path: str) -> DataFrame:
-    """Objects whose rows don't match the archive's manifest."""
+    """(file, rows) of the manifest's objects whose rows don't match it now."""
     now = manifest(spark, f"{path}/objects").withColumnsRenamed({"rows": "rows_now", "checksum": "checksum_now"})
     then = spark.read.parquet(f"{path}/manifest")
-    return then.join(now, "file", "left").where(~(F.col("rows").eqNullSafe(F.col("rows_now")) & F.col("checksum").eqNullSafe(F.col("checksum_now")))).select("file")
+    return then.join(now, "file", "left").where(~(F.col("rows").eqNullSafe(F.col("rows_now")) & F.col("checksum").eqNullSafe(F.col("checksum_now")))).select("file", "rows")
