@@ -14,9 +14,40 @@ from pyspark.sql.types import StructField, StructType
 #: Spaces that part words: \x20 and \x09-\x0D, the same that bytes.split() knows.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows and bytes of an Arrow batch, where the session sets none: a task holds a few batches at once, in the JVM and in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Bytes of a Parquet row group, where the session sets none: the unit in which texts are buffered and dealt to tasks again.
+ROW_GROUP = str(16 << 20)
+#: A lookup table of at most so many rows is broadcast; beyond it the join is a salted shuffle.
+MOST_BROADCAST, SALTS = 200_000, 32
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """BATCH for the session's Python stages, unless the session has limits of its own."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def bounded_row_groups(spark: SparkSession) -> None:
+    """ROW_GROUP for what the session writes, unless it has a size of its own."""
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", ROW_GROUP)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where `df` has columns so named."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -40,7 +71,7 @@ def working_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends there and is safe from lost executors."""
     spark, path = df.sparkSession, working_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", spark.conf.get("parquet.block.size", ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,12 +81,31 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: dict[str, str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """`rows` joined with `table` (both stored, `table` with one row a key) on `keys`, column of rows -> column of table; all names must differ.
+
+    The table is broadcast if it has at most MOST_BROADCAST rows. Beyond that it is shuffled, and each
+    key's rows are dealt to `salts` tasks and the table's row to all of them, so that a hot key isn't
+    one task's; give 1 where keys of `rows` can't be hot.
+    """
+    if table.count() <= MOST_BROADCAST:
+        on = [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()]
+        return rows.join(F.broadcast(table), on, how)
+    (salt,) = fresh(rows, "__salt")
+    if salts > 1:
+        rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        table = table.withColumn(f"{salt}_t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys = keys | {salt: f"{salt}_t"}
+    return rows.join(table, [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()], how).drop(salt, f"{salt}_t")
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[StructField], make: Callable[[], Callable[..., Iterable[Iterable]]]) -> DataFrame:
     """`df` with `fields` appended, computed from the columns `inputs` one Arrow batch at a time.
 
     `make()` runs once in each task and returns a function from the lists of a batch's inputs to one
     list or Arrow array for each field. Columns of `df` pass through as they are; a field whose name `df` has takes its place.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in new]
     places = [df.schema.names.index(c) for c in inputs]
