@@ -26,6 +26,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 # local parsers: each is matched at one position only
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_RUN = re.compile("[0-9]+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -71,7 +72,8 @@ def scanner() -> Callable[[str | None], list[tuple[int, int, int]]]:
         if not text:
             return []
         out = []
-        email = ip = card = phone = 0  # where the next match of the kind may start
+        # where the next match of the kind may start; an address that doesn't begin at one digit of a run begins at none
+        email = ip = card = phone = scheme = 0
         for last, (what, size) in automaton.iter(text):
             at = last - size + 1
             if what == "digit":
@@ -81,7 +83,8 @@ def scanner() -> Callable[[str | None], list[tuple[int, int, int]]]:
                         if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                             out.append((2, at, card))
                 if at >= ip:
-                    if m := _IP.match(text, at):
+                    ip = _RUN.match(text, at).end()
+                    if m := _IP.match(text, at) if text.startswith(".", ip) else None:
                         ip = m.end()
                         if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
                             out.append((1, at, ip))
@@ -99,8 +102,9 @@ def scanner() -> Callable[[str | None], list[tuple[int, int, int]]]:
                         out.append((3, at, phone))
             elif what == "scheme":
                 start = at
-                while start > max(0, at - 32) and text[start - 1] in _SCHEME:
+                while start > scheme and text[start - 1] in _SCHEME:
                     start -= 1
+                scheme = last
                 if start < at and (m := _LOGIN.match(text, last + 1)):
                     out.append((4, start, m.end()))
             elif what == "iban":
