@@ -25,7 +25,6 @@ BASE = 3
 #: A vocabulary whose order ranks words; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 MIN_COST = 10.0
-WINDOW = 32  # longest word; repeats, steps and walks are as long as they are
 
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -50,59 +49,118 @@ def _neighbours() -> dict[str, str]:
 
 _NEAR = _neighbours()
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2})$")
+#: Lengths that _DATE can match.
+_DATE_SIZES = (4, 8, 10)
+#: The shortest repeat, step or walk.
+LEAST_RUN = 3
+
+
+def _lower(value: str) -> str:
+    """In small letters, character by character."""
+    return value.lower() if value.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in value)
+
+
+class Words:
+    """Ranked words, found in a value by one automaton."""
+
+    def __init__(self, ranks: dict[str, int]):
+        import ahocorasick
+
+        self.longest = max(map(len, ranks), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for word, rank in ranks.items():
+            self.automaton.add_word(word, (len(word), math.log10(rank + 1)))
+        if ranks:
+            self.automaton.make_automaton()
+
+    def ending(self, value: str) -> dict[int, list[tuple[int, float]]]:
+        """End -> (start, cost) of the words there: as they stand, in capitals, and with digits and signs read as letters."""
+        found: dict[int, list[tuple[int, float]]] = {}
+        if not self.longest:
+            return found
+        low = _lower(value)
+        plain = low.translate(_LEET)
+        for text in {low, plain}:
+            for last, (size, cost) in self.automaton.iter(text):
+                j, i = last + 1 - size, last + 1
+                lower, word = low[j:i], text[j:i]
+                cost += 0.0 if value[j:i] == lower else 0.3 if value[j + 1 : i] == lower[1:] else 1.0
+                found.setdefault(i, []).append((j, cost if lower == word else cost + 0.6))
+        return found
+
+
+class _Run:
+    """Places where a repeat, step or walk that goes on may have started, none of which is worse than another for good.
+
+    A run from j to i costs best[j] + first + log10(i - j) + each * (i - j). A later place is worse for
+    good if it is so at its shortest run; an earlier one if the later costs no more.
+    """
+
+    __slots__ = ("each", "first", "places", "start")
+
+    def __init__(self, first: float, each: float = 0.0):
+        self.first, self.each, self.places, self.start = first, each, [], 0
+
+    def restart(self, at: int) -> None:
+        self.start = at
+        if self.places:
+            self.places = []
+
+    def least(self, i: int, best: list[float]) -> float:
+        """The least cost of a run that ends at i, after the place that is now long enough has come in."""
+        if i - self.start < LEAST_RUN:
+            return math.inf
+        j = i - LEAST_RUN
+        cost = best[j]
+        if not any(c + self.each * (j - p) + math.log10(1 + (j - p) / LEAST_RUN) <= cost for p, c in self.places):
+            self.places = [(p, c) for p, c in self.places if c + self.each * (j - p) < cost]
+            self.places.append((j, cost))
+        return min(c + self.first + math.log10(i - p) + self.each * (i - p) for p, c in self.places)
 
 
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
-def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
-    """log10 of the guesses that the cheapest segmentation needs; at least `enough` once it is sure to be.
+def guess_cost(value: str, words: Words, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation needs; `enough` once it is sure to be at least that.
 
-    best[i] is the least cost of the first i characters. Where no repeat, step or walk is longer, every
-    path to the end passes one of WINDOW consecutive positions, so the value is settled as costly once
-    all of those are. Of a longer repeat, step or walk the first and last WINDOW places to start it are tried.
+    best[i] is the least cost of the first i characters over all their segmentations: brute-force
+    characters, words, dates, and runs of any length: repeats of one character, steps (neighbours in
+    code order, one way) and walks over neighbouring keys. Once no place that a segment can still start
+    from costs less than `enough`, neither does the end.
     """
     n = len(value)
     best = [0.0] + [math.inf] * n
-    low, plain = value.lower(), value.lower().translate(_LEET)
-    same = even = path = 0  # where the repeat, step and walk that end here start
+    low, ending = _lower(value), words.ending(value)
+    reach = max(words.longest, *_DATE_SIZES)
+    repeat, step, walk, way = _Run(_brute(value[0]) if value else 0.0), _Run(1.3), _Run(math.log10(47), 0.3), 0
+    cheap = 0  # the last place that costs less than `enough`
     for i in range(1, n + 1):
-        cost = best[i - 1] + _brute(value[i - 1])
+        c = value[i - 1]
+        cost = best[i - 1] + _brute(c)
         if i > 1:
-            by = ord(value[i - 1]) - ord(value[i - 2])
-            same = same if by == 0 else i - 1
-            even = i - 1 if abs(by) > 1 else even if i > 2 and by == ord(value[i - 2]) - ord(value[i - 3]) else i - 2
-            path = path if low[i - 2] in _NEAR.get(low[i - 1], "") else i - 1
-        run = walk = step = True
-        for j in range(i - 2, max(-1, i - WINDOW - 1), -1):
-            size, before = i - j, best[j]
-            run = run and value[j] == value[i - 1]
-            walk = walk and low[j] in _NEAR.get(low[j + 1], "")
-            if size >= 3:
-                step = step and ord(value[j + 1]) - ord(value[j]) == ord(value[i - 1]) - ord(value[i - 2]) and abs(ord(value[i - 1]) - ord(value[i - 2])) <= 1
-            if before + 0.3 >= cost:
-                continue
-            if run and size >= 3:
-                cost = min(cost, before + _brute(value[j]) + math.log10(size))
-            elif step and size >= 3:
-                cost = min(cost, before + 1.3 + math.log10(size))
-            if walk and size >= 3:
-                cost = min(cost, before + math.log10(47 * size) + 0.3 * size)
-            if size in (4, 8, 10) and value[j].isdigit() and _DATE.match(value[j:i]):
-                cost = min(cost, before + (2.1 if size == 4 else 4.6))
-            if size >= 3 and (word := low[j:i]):
-                rank = ranks.get(word)
-                extra = 0.0 if value[j:i] == word else 0.3 if value[j + 1 : i] == word[1:] else 1.0
-                if rank is None and (rank := ranks.get(plain[j:i])) is not None:
-                    extra += 0.6
-                if rank is not None:
-                    cost = min(cost, before + math.log10(rank + 1) + extra)
-        for start, first, each in ((same, _brute(value[i - 1]), 0.0), (even, 1.3, 0.0), (path, math.log10(47), 0.3)):
-            for j in range(start, min(start + WINDOW, i - WINDOW)):
-                cost = min(cost, best[j] + first + math.log10(i - j) + each * (i - j))
+            by = ord(c) - ord(value[i - 2])
+            if by:
+                repeat.restart(i - 1)
+                repeat.first = _brute(c)
+            if abs(by) != 1:
+                step.restart(i - 1)
+            elif by != way:
+                step.restart(i - 2)
+            way = by
+            if low[i - 2] not in _NEAR.get(low[i - 1], ""):
+                walk.restart(i - 1)
+        cost = min(cost, repeat.least(i, best), step.least(i, best), walk.least(i, best))
+        for j, word in ending.get(i, ()):
+            cost = min(cost, best[j] + word)
+        for size in _DATE_SIZES:
+            if i >= size and value[i - size].isdigit() and _DATE.match(value[i - size : i]):
+                cost = min(cost, best[i - size] + (2.1 if size == 4 else 4.6))
         best[i] = cost
-        if i >= WINDOW and i - min(same, even, path) < WINDOW and min(best[i - WINDOW + 1 : i + 1]) >= enough:
+        if cost < enough:
+            cheap = i
+        elif i - cheap >= reach and all(x >= enough for run in (repeat, step, walk) for _, x in run.places):
             return enough
     return best[n]
 
@@ -119,7 +177,7 @@ def load_ranks(path: str = VOCABULARY) -> dict[str, int]:
     return ranks
 
 
-def scanner(ranks: dict[str, int], min_cost: float = MIN_COST) -> Callable[[str | None], list[tuple[int, int, int]]]:
+def scanner(words: Words, min_cost: float = MIN_COST) -> Callable[[str | None], list[tuple[int, int, int]]]:
     """A function from a text to spans (start, kind's place in KINDS, end), ordered, in code points."""
     def scan(text: str | None) -> list[tuple[int, int, int]]:
         if not text:
@@ -132,7 +190,7 @@ def scanner(ranks: dict[str, int], min_cost: float = MIN_COST) -> Callable[[str
             out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
             at = 0
             while m := _CONTEXT.search(text, at):
-                costly = guess_cost(m[1], ranks, min_cost) >= min_cost
+                costly = guess_cost(m[1], words, min_cost) >= min_cost
                 if costly:
                     out.append((m.start(1), 3, m.end(1)))
                 at = m.end(1) if costly else m.start(1)  # a cheap value may be the context of the next
@@ -158,7 +216,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def make():
-        scan = scanner(ranks.value, min_cost)
+        scan = scanner(Words(ranks.value), min_cost)
 
         def rows(texts):
             out = []
