@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import components, materialise
+from heddle.llm.common import MOST_BROADCAST, bounded_batches, components, materialise
 
 WORDS = 5
 #: The least Jaccard similarity of a link, in hundredths.
 PERCENT = 75
-#: An n-gram counts as frequent if one Arrow batch has it in so many texts; so many of the most
+#: An n-gram counts as frequent if one task has it in so many of the texts that it counts together; so many of the most
 #: frequent are told to all tasks (8 bytes each). Both only order n-grams: links don't depend on them.
 LOCAL_MIN, MAX_FREQUENT = 2, 250_000
-#: Prefix n-grams of a task, members of a list's row, n-grams of a verified group.
-BUCKET_GRAMS, LIST_ROWS, GROUP_GRAMS = 1_000_000, 4_096, 1_000_000
+#: Prefix n-grams of a bucket, members of a list's row, n-grams of a verified group.
+BUCKET_GRAMS, LIST_ROWS, GROUP_GRAMS = 500_000, 4_096, 250_000
+#: N-grams that a task counts together, and log2 of the members up to which a frequent n-gram's list stays in one piece.
+COUNTED_GRAMS, WHOLE_LIST = 1_500_000, 17
 #: Bits of the filter that is broadcast to find the documents of candidate pairs: 8 MB.
 FILTER_BITS = 1 << 26
 
@@ -159,22 +161,39 @@ def _texts(column: pa.Array, rows: int = 500) -> Iterator[str | None]:
         yield from column.slice(at, rows).to_pylist()
 
 
+PROFILE = "doc_id long, mark long, n long, sid long, hi long, gram long"
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc_id, n, sid, hi), and for each n-gram that is frequent in the batch (gram, n)."""
+    """A row for each document (doc_id, mark, n, sid, hi), and for each n-gram that is frequent in the task (gram, n)."""
+    names, seen, held = [x.split()[0] for x in PROFILE.split(", ")], {}, 0
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    def counted() -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        frequent = counts >= LOCAL_MIN
+        none = pa.nulls(int(frequent.sum()), pa.int64())
+        return rows(none, none, counts[frequent], none, none, grams[frequent].astype(np.int64))
+
     for b in batches:
-        ns, sids, his, seen = [], [], [], {}
-        for t in _texts(b.column(1)):
+        ns, sids, his = [], [], []
+        for t in _texts(b.column(2)):
             s = shingles(t)
             sid, hi = _sid(s)
             ns.append(len(s))
             sids.append(sid if len(s) else None)
             his.append(hi if len(s) else None)
-            seen.setdefault(sid, s)
-        grams, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True) if seen else (np.zeros(0, np.uint64),) * 2
-        frequent = counts >= LOCAL_MIN
-        k = int(frequent.sum())
-        none = [None] * len(ns)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(k, pa.int64())]), pa.array(ns + counts[frequent].tolist(), pa.int64()), pa.array(sids + [None] * k, pa.int64()), pa.array(his + [None] * k, pa.int64()), pa.array(none + grams[frequent].astype(np.int64).tolist(), pa.int64())], names=["doc_id", "n", "sid", "hi", "gram"])
+            if len(s) and sid not in seen:
+                seen[sid] = s
+                held += len(s)
+                if held >= COUNTED_GRAMS:
+                    yield counted()
+                    seen, held = {}, 0
+        yield rows(b.column(0), b.column(1), ns, sids, his, pa.nulls(b.num_rows, pa.int64()))
+    if seen:
+        yield counted()
 
 
 def frequent_order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +213,7 @@ def frequent_order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = (counted.where(F.col("n") >= least) if least is not None else counted.limit(0)).toArrow()
     grams, counts = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()
     order = np.argsort(grams)
-    classes = np.minimum(31, 1 + np.log2(np.maximum(1, counts)).astype(np.int64))
+    classes = np.minimum(63, 1 + np.log2(np.maximum(1, counts)).astype(np.int64))
     return grams[order], classes[order].astype(np.uint64)
 
 
@@ -207,16 +226,29 @@ def ordered(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.sort(grams)
 
 
+def _named(grams: np.ndarray, clashing: frozenset) -> int:
+    """A set's 64-bit name: one half of its hash, or the other where two sets share the first."""
+    lo, hi = _sid(grams)
+    return hi if lo in clashing else lo
+
+
+def _pieces(grams: np.ndarray, sids: np.ndarray) -> np.ndarray:
+    """Which piece of its n-gram's list each posting belongs to: a very frequent one's list is parted by set, whose class leads the number."""
+    classes = (grams >> np.uint64(58)).astype(np.int64)
+    parts = np.int64(1) << np.maximum(0, classes - WHOLE_LIST)
+    return (_mix(sids.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts
+
+
 def _postings(frequent, buckets: int):
     """Batches of texts to rows (bucket, sids, sizes, runs, grams): prefix n-grams, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = frequent.value, set()
+        (known, clashing), seen = frequent.value, set()
         for b in batches:
             prefixes, sids, ns = [], [], []
             for t in _texts(b.column(0)):
                 s = shingles(t)
-                sid = _sid(s)[0]
+                sid = _named(s, clashing)
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     prefixes.append(ordered(s, known)[: prefix_size(len(s))])
@@ -226,10 +258,11 @@ def _postings(frequent, buckets: int):
                 continue
             grams = np.concatenate(prefixes)
             doc = np.repeat(np.arange(len(sids)), [len(p) for p in prefixes])
-            bucket = (_mix(grams) % np.uint64(buckets)).astype(np.int64)
+            sids, ns = np.array(sids, np.int64), np.array(ns, np.int32)
+            pieces = _pieces(grams, sids[doc]).astype(np.uint64)
+            bucket = (_mix(grams + pieces * _ODD[2]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             grams, doc, bucket = grams[order], doc[order], bucket[order]
-            sids, ns = np.array(sids, np.int64), np.array(ns, np.int32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             out = []
             for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
@@ -242,38 +275,60 @@ def _postings(frequent, buckets: int):
     return run
 
 
+LISTS = "sig long, sig2 long, part long, split boolean, grams int, hub long, hub_n int, sids array<long>, sizes array<int>"
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed postings of a task's buckets to its lists of two or more sets: (sig, part, grams, hub, hub_n, sids, sizes), long lists in several rows; lists of the same members are one, with their number of grams."""
-    sids, ns, grams = [], [], []
+    """Packed postings, ordered by bucket, to each bucket's lists; one bucket is held at a time."""
+    held, bucket = [], None
     for b in batches:
-        for s, n, r, g in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            runs = np.frombuffer(r, np.int32)
-            sids.append(np.repeat(np.frombuffer(s, np.int64), runs))
-            ns.append(np.repeat(np.frombuffer(n, np.int32), runs))
-            grams.append(np.frombuffer(g, np.uint64))
-    names = ["sig", "part", "grams", "hub", "hub_n", "sids", "sizes"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    if not grams:
-        return
+        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[0] != bucket and held:
+                yield from _bucket_lists(held)
+                held = []
+            bucket = row[0]
+            held.append(row[1:])
+    if held:
+        yield from _bucket_lists(held)
+
+
+def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A bucket's packed postings to its lists of two or more sets (LISTS), long ones in several rows.
+
+    Lists of the same members are one, with their number of n-grams, named by 128 bits of the members'
+    hashes. The pieces of a list that is parted share the n-gram's name, and each has a hub of its own.
+    """
+    sids, ns, grams = [], [], []
+    for s, n, r, g in rows:
+        runs = np.frombuffer(r, np.int32)
+        sids.append(np.repeat(np.frombuffer(s, np.int64), runs))
+        ns.append(np.repeat(np.frombuffer(n, np.int32), runs))
+        grams.append(np.frombuffer(g, np.uint64))
+    names = [x.split()[0] for x in LISTS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     sids, ns, grams = np.concatenate(sids), np.concatenate(ns), np.concatenate(grams)
-    order = np.lexsort((sids, ns, grams))
+    order = np.lexsort((sids, ns, _pieces(grams, sids), grams))
     sids, ns, grams = sids[order], ns[order], grams[order]
+    pieces = _pieces(grams, sids)
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])
-    sids, ns, grams = sids[new], ns[new], grams[new]
-    starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    sids, ns, grams, pieces = sids[new], ns[new], grams[new], pieces[new]
+    starts = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (pieces[1:] != pieces[:-1])])
     sizes = np.diff([*starts, len(grams)])
-    sums = np.add.reduceat(_mix(sids.astype(np.uint64)), starts)
-    many = np.flatnonzero(sizes > 1)
-    first, times = np.unique(np.stack([sums[many], sizes[many].astype(np.uint64)]), axis=1, return_index=True, return_counts=True)[1:] if len(many) else ([], [])
+    split = (grams[starts] >> np.uint64(58)).astype(np.int64) > WHOLE_LIST
+    mixed = _mix(sids.astype(np.uint64))
+    sums = np.stack([np.add.reduceat(mixed, starts), np.add.reduceat(_mix(mixed ^ _ODD[3]), starts)])
+    many = np.flatnonzero((sizes > 1) & ~split)
+    first, times = np.unique(np.stack([*sums[:, many], sizes[many].astype(np.uint64)]), axis=1, return_index=True, return_counts=True)[1:] if len(many) else (np.zeros(0, np.int64),) * 2
+    apart = np.flatnonzero(split)
     out, held = [], 0
-    for k, n_grams in zip(many[first], times, strict=True):
+    for k, n_grams in zip([*many[first], *apart], [*times, *[1] * len(apart)], strict=True):
         lo, size = int(starts[k]), int(sizes[k])
-        sig = int(_mix(sums[k : k + 1] ^ np.uint64(size))[0].astype(np.int64))
+        sig, sig2 = _mix(sums[:, k] ^ np.uint64(size)).astype(np.int64).tolist() if not split[k] else (int(_mix(grams[lo : lo + 1])[0].astype(np.int64)), int(grams[lo].astype(np.int64)))
         hub = lo + size // 2  # the middle by size
         for part, at in enumerate(range(lo, lo + size, LIST_ROWS)):
             to = min(at + LIST_ROWS, lo + size)
-            out.append((sig, part, int(n_grams), int(sids[hub]), int(ns[hub]), sids[at:to], ns[at:to]))
+            out.append((sig, sig2, (int(pieces[lo]) << 32) + part, bool(split[k]), int(n_grams), int(sids[hub]), int(ns[hub]), sids[at:to], ns[at:to]))
             held += to - at
         if held > 1 << 18:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -307,7 +362,7 @@ def _sets_of(known, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        frequent, pieces = known.value, bits.value
+        (frequent, clashing), pieces = known.value, bits.value
 
         def may_have(key: int) -> bool:
             h = xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) % FILTER_BITS
@@ -320,7 +375,7 @@ def _sets_of(known, bits):
                 if doc_id is not None and not may_have(doc_id):
                     continue
                 if len(s := shingles(text)):
-                    sid = _sid(s)[0]
+                    sid = _named(s, clashing)
                     if doc_id is not None or may_have(sid):
                         out.append((sid if doc_id is None else doc_id, sid, len(s), ordered(s, frequent).tobytes()))
             if out:
@@ -374,70 +429,99 @@ def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, known, name:
     return materialise(rows.groupBy("probe", "part").applyInPandas(_verify, "a long, b long"), name)
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of `docs`: doc_id, n_shingles, component_id (the least doc_id reachable by links).
-
-    Null, empty and blank texts have an empty set and are their own component. Repeated rows, and
-    texts with equal sets, share a component; a null id can't name one. Very long texts are whole
-    sets. An empty table gives an empty result; other columns are ignored. Sets are compared by 58 bits
-    of hash for each n-gram; the hash that names a set is checked for uniqueness.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, sid) of every row, mark a hash of its text and sid its set's name, and (sid, least, klass) of every set."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(texts.mapInArrow(_profile, "doc_id long, n long, sid long, hi long, gram long"), "ngram-profile")
-    known = spark.sparkContext.broadcast(frequent_order(profile))
+    profile = materialise(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_profile, PROFILE), "ngram-profile")
     rows = profile.where("gram is null").drop("gram")
-    named = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), (F.min("hi") != F.max("hi")).alias("clash"))
-    named = materialise(named, "ngram-named")
-    total = named.agg(F.sum("n"), F.max("clash")).first()
-    if total[1]:
-        raise RuntimeError("two different sets have one 64-bit name; change the hash's seed")
+    named = materialise(rows.where("sid is not null").groupBy("sid", "hi").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "ngram-named")
+    # sets of one 64-bit name: n^2 / 2^65 are to be expected, so none, or at 10^11 sets a few hundred
+    clashing = frozenset(r.sid for r in named.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(MOST_BROADCAST).collect())
+    if clashing:
+        name = F.when(F.col("sid").isin(*clashing), F.col("hi")).otherwise(F.col("sid"))
+        rows, named = rows.withColumn("sid", name), named.withColumn("sid", name)
+        if not named.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            raise RuntimeError("two sets have one name in both halves of their hash")
+    rows, named = rows.drop("hi"), named.drop("hi")
+    known = spark.sparkContext.broadcast((frequent_order(profile), clashing))
+    total = named.agg(F.sum("n")).first()[0] or 0
     keys = named.select("sid", F.coalesce("least", "sid").alias("key"), "n")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total[0] or 0) * (100 - PERCENT) // 100 // BUCKET_GRAMS)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - PERCENT) // 100 // BUCKET_GRAMS)
     packed = texts.select("text").mapInArrow(_postings(known, buckets), "bucket int, sids binary, sizes binary, runs binary, grams binary")
-    lists = packed.repartition(buckets, "bucket").mapInArrow(_lists, "sig long, part int, grams int, hub long, hub_n int, sids array<long>, sizes array<int>")
-    same = [F.first(c).alias(c) for c in ("hub", "hub_n", "sids", "sizes")]
-    lists = materialise(lists.groupBy("sig", "part").agg(F.sum("grams").alias("grams"), *same), "ngram-lists")
+    lists = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LISTS)
+    same = [F.first(c).alias(c) for c in ("split", "hub", "hub_n", "sids", "sizes")]
+    lists = materialise(lists.groupBy("sig", "sig2", "part").agg(F.sum("grams").alias("grams"), *same), "ngram-lists")
     members = lists.select("sig", "grams", "hub", "hub_n", F.explode(F.arrays_zip("sids", "sizes")).alias("x")).select("sig", "grams", "hub", "hub_n", F.col("x.sids").alias("sid"), F.col("x.sizes").alias("n"))
 
     fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
-    tried = materialise(members.where((F.col("sid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("probe"), "sid").distinct(), "ngram-tried")
+    # the pieces of a parted list are joined by their hubs: the first piece's meets the others
+    hubs = lists.where("split").select("sig", "grams", F.col("hub").alias("sid"), F.col("hub_n").alias("n"), "part")
+    main = hubs.groupBy("sig").agg(F.min_by(F.struct("sid", "n"), "part").alias("m")).select("sig", F.col("m.sid").alias("hub"), F.col("m.n").alias("hub_n"))
+    tries = members.select("hub", "hub_n", "sid", "n").unionByName(hubs.join(main, "sig").select("hub", "hub_n", "sid", "n"))
+    tried = materialise(tries.where((F.col("sid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("probe"), "sid").distinct(), "ngram-tried")
     hopeful = materialise(screened(tried, members, keys), "ngram-hopeful")
     edges = verified(hopeful, keys, texts, known, "ngram-hub-links")
     klass = components(edges, "ngram-hubs")
     labelled = members.select("sig", "grams", "sid", "n").join(klass.withColumnsRenamed({"node": "sid", "component": "klass"}), "sid", "left").withColumn("klass", F.coalesce("klass", "sid"))
     labelled = materialise(labelled, "ngram-labelled")
-    open_ = labelled.groupBy("sig").agg(F.min("klass").alias("lo"), F.max("klass").alias("hi")).where("lo <> hi").select("sig")
-    opened = materialise(labelled.join(open_, "sig", "left_semi"), "ngram-open")
+    # of each list that has members of several components, those outside the largest one are paired with all others
+    sizes = labelled.groupBy("sig", "klass").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("sig").agg(F.max_by("klass", F.struct("c", "klass")).alias("main"), F.count(F.lit(1)).alias("klasses")).where("klasses > 1").select("sig", "main")
+    opened = materialise(labelled.join(main, "sig").withColumn("aside", F.col("klass") != F.col("main")).drop("main"), "ngram-open")
     opened = opened.join(lists_by_set(opened), "sid")
-    other = opened.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("sid", "n", "klass", "lists")])
-    # members of different components, each pair in the first list that both are in
+    other = opened.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("sid", "n", "klass", "aside", "lists")])
+    # each pair in the first list that both are in
     n1, n2 = F.col("n"), F.col("n_2")
     common = F.array_intersect(F.map_keys("lists"), F.map_keys("lists_2"))
-    apart = (F.col("klass") != F.col("klass_2")) & ((n1 < n2) | ((n1 == n2) & (F.col("sid") < F.col("sid_2")))) & fits(n1, n2)
-    cross = opened.join(other, "sig").where(apart & (F.array_min(common) == F.col("sig")) & may_link(n1, n2, F.col("lists"), F.col("lists_2"), common))
+    apart = (F.col("klass") != F.col("klass_2")) & (~F.col("aside_2") | (F.col("sid") < F.col("sid_2"))) & fits(n1, n2)
+    cross = opened.where("aside").join(other, "sig").where(apart & (F.array_min(common) == F.col("sig")) & may_link(n1, n2, F.col("lists"), F.col("lists_2"), common))
     pairs = cross.select(F.col("sid").alias("probe"), F.col("sid_2").alias("sid"))
     done = tried.select("probe", "sid").union(tried.select(F.col("sid").alias("probe"), F.col("probe").alias("sid")))
     pairs = materialise(pairs.join(done, ["probe", "sid"], "left_anti"), "ngram-cross")
     more = verified(pairs, keys, texts, known, "ngram-cross-links")
     klass = components(edges.unionByName(more), "ngram")
+    sets = named.select("sid", "least").join(klass, F.col("sid") == F.col("node"), "left")
+    return rows, materialise(sets.select("sid", "least", F.coalesce("component", "sid").alias("klass")), "ngram-classes")
+
+
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of `docs`: doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
-    named = named.select("sid", "least").join(klass, F.col("sid") == F.col("node"), "left").select(F.col("sid").alias("__sid"), F.coalesce("component", "sid").alias("klass"), "least")
-    least = named.groupBy(F.col("klass").alias("__k")).agg(F.min("least").alias("component_id"))
-    named = named.join(least, F.col("klass") == F.col("__k")).select("__sid", "component_id")
+    Null, empty and blank texts have an empty set and are their own component. Repeated rows, and
+    texts with equal sets, share a component; a null id can't name one. Very long texts are whole
+    sets. An empty table gives an empty result; other columns are ignored. Sets are compared by 58 bits
+    of hash for each n-gram and named by a 128-bit hash.
+    """
+    rows, sets = _classified(docs, id_col, text_col)
+    least = sets.groupBy(F.col("klass").alias("__k")).agg(F.min("least").alias("component_id"))
+    named = sets.join(least, F.col("klass") == F.col("__k")).select(F.col("sid").alias("__sid"), "component_id")
     out = rows.join(named, F.col("sid") == F.col("__sid"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, whose id names their component: one document of each group, and all without words.
+    """The rows of `docs`, with their columns: one of each group of near copies, and all without words.
 
-    Rows that repeat that id stay together; rows with a null id stay only where they have no component.
+    The row that stays has the group's least id; a null id comes last, and of rows that share an id the
+    set's name and then the text's hash decide. Rows equal in id and text are one. A row whose text is
+    null, empty or blank is in no group; an empty table stays empty; columns may have any names.
     """
-    classes = ngram_classes(docs, id_col, text_col)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi")
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+    rows, sets = _classified(docs, id_col, text_col)
+    told = rows.where("sid is not null").groupBy("doc_id", "mark", "sid").agg(F.count(F.lit(1)).alias("times"))
+    told = told.join(sets.select(F.col("sid").alias("__s"), "klass"), F.col("sid") == F.col("__s"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sid"), F.col("mark"), F.col("times"))
+    chosen = told.groupBy("klass").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"), F.col("r.times").alias("__times"))
+    chosen = materialise(chosen, "ngram-chosen")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    plain = docs.toDF(*names)
+    kept = plain.where(~blank).join(chosen, id_.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
+    again = kept.where("__times > 1").dropDuplicates(["__id", "__mark"])
+    kept = kept.where("__times = 1").unionByName(again).select(*names).unionByName(plain.where(blank))
+    return kept.toDF(*docs.columns)
 
 
 SQL = r"""

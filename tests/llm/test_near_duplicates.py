@@ -70,7 +70,9 @@ def test_ngram_classes(spark):
             assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == want[r.doc_id]
     assert sorted((r.component_id is None, r.component_id == want[0]) for r in got if r.doc_id is None) == [(False, True), (True, False)]
     kept = ngram_join.keep_one(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i}
+    assert kept.columns == df.columns
+    # one of each group, the null id's own one too
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*((False, i) for i in sorted(want) if want[i] == i), (True, None)]
     assert ngram_join.ngram_classes(df.limit(0)).count() == 0
 
 
@@ -84,6 +86,53 @@ def test_long_lists_are_parted(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df).collect()} == want
 
 
+def test_very_frequent_lists_are_parted_by_set(spark, monkeypatch):
+    """Pieces of a list are joined by their hubs, and members of unlike components across pieces are still paired."""
+    monkeypatch.setattr(ngram_join, "WHOLE_LIST", 2)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 3)
+    base = [f"b{i}" for i in range(40)]
+    other = base[:30] + [f"o{i}" for i in range(9)]
+    rows = [(i, " ".join(b[:k] + [f"x{i}"] + b[k:])) for i, k, b in ((i, RNG.randrange(38), RNG.choice([base, base, other])) for i in range(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: _set(t) for i, t in rows}
+    want = _least_reachable(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df).collect()} == want
+
+
+def test_sets_that_share_half_a_name(spark, monkeypatch):
+    """Where two sets share the half of the hash that names them, the other half does."""
+    from pyspark import cloudpickle
+
+    whole = ngram_join._sid
+    monkeypatch.setattr(ngram_join, "_sid", lambda grams: (whole(grams)[0] % 40, whole(grams)[1]))
+    cloudpickle.register_pickle_by_value(ngram_join)  # so that tasks see it too
+    try:
+        texts = [t for t in _texts() if t]
+        sets = [_set(t) for t in texts]
+        links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df).collect()} == _least_reachable(range(len(texts)), links)
+    finally:
+        cloudpickle.unregister_pickle_by_value(ngram_join)
+
+
+def test_one_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(5, a, "x"), (5, a, "x"), (5, b, "x"), (4, a + " more", "x"), (None, b, "x"), (None, c, "y"), (None, c + " more", "z"), (7, None, "x"), (7, None, "x"), (None, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, c1 string, __mark string")
+    kept = ngram_join.keep_one(df, text_col="c1")
+    got = sorted(map(str, kept.collect()))
+    assert kept.columns == df.columns and len(got) == 6
+    assert sum("doc_id=4" in r for r in got) == 1 and sum("doc_id=5" in r and "b0" in r for r in got) == 1
+    assert sum("c0" in r for r in got) == 1 and sum("doc_id=7" in r for r in got) == 2
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[:400_000])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(df).collect())[:2] == [(1, 199_996, 1), (2, 199_997, 1)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_prefix_tree(seed):
     rng = np.random.default_rng(seed)
@@ -178,6 +227,23 @@ def test_large_group(spark, monkeypatch):
     _check_vectors(spark, v[rng.permutation(900)].astype(np.float32), [0] * 900, recall=0.95)
 
 
+@pytest.mark.parametrize("kind", ("string", "double"))
+def test_ids_on_several_vectors_and_labels_of_any_type(spark, kind):
+    label = {"string": "a", "double": 1.2}[kind]
+    other = {"string": "b", "double": 1.7}[kind]
+    rows = [(1, [1.0, 0.0], label), (1, [0.0, 1.0], label), (2, [1.0, 0.01], label), (3, [0.01, 1.0], label), (4, [0.02, 1.0], label), (5, [0.02, 1.0], other), (6, [1.0, 1.0], None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").selectExpr("*", "'x' AS node")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivot_index.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_vectors_that_need_double_precision(spark):
+    v = [0.1 + 1e-12 * i for i in range(4)]
+    rows = [(i, [x, 1.0 / 3.0, 0.2], 1) for i, x in enumerate(v)]
+    got = pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 3, 0) for i in range(4)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, -0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, nan], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (12, [1e-30, 1e-32], 1)]
