@@ -16,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from heddle.llm.common import components, materialise
+from heddle.llm.common import bounded_batches, components, looked_up, materialise
 
 #: Pivots of a description, lists that a vector is posted to, shared pivots that make a candidate.
 DESCRIBED, POSTED, SHARED = 12, 6, 4
@@ -66,32 +68,38 @@ def pivot_count(dim: int, most: int) -> int:
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, fp, vec): fp and vec are null for vectors that link with nothing."""
+    """(vec_id, label, fp, vec): the vector at a common scale and its fingerprint, null for vectors that link with nothing."""
     for b in batches:
-        ids, arr, labels = b.column(0), b.column(1), b.column(2)
+        arr = b.column(1)
         values = arr.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # -0.0 counts as 0.0
-        offsets, there = arr.offsets.to_numpy(), arr.is_valid().to_numpy(zero_copy_only=False)
-        fps, vecs = [], []
-        for i, label in enumerate(labels.to_pylist()):
+        offsets, there = arr.offsets.to_numpy(), (pc.and_(arr.is_valid(), b.column(2).is_valid())).to_numpy(zero_copy_only=False)
+        vecs = []
+        for i in range(b.num_rows):
             v = values[offsets[i] : offsets[i + 1]]
-            ok = there[i] and label is not None and len(v) and np.isfinite(v).all() and v.any()
-            if ok:  # a common scale, so that no square over- or underflows
+            ok = there[i] and len(v) and np.isfinite(v).all() and v.any()
+            if ok:  # so that no square over- or underflows
                 v = v / math.ldexp(1.0, int(np.frexp(np.abs(v).max())[1]))
-            raw = v.tobytes() if ok else None
-            vecs.append(raw)
-            fps.append(hashlib.blake2b(raw, digest_size=16).digest() if ok else None)
-        yield pa.RecordBatch.from_arrays([ids, labels, pa.array(fps, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "label", "fp", "vec"])
+                short = v.astype(np.float32)  # half the bytes, where nothing is lost
+                v = short if (short == v).all() else v
+            vecs.append((b"f" if v.dtype == np.float32 else b"d") + v.tobytes() if ok else None)
+        fps = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "label", "fp", "vec"])
+
+
+def _numbers(vec: bytes) -> np.ndarray:
+    """A stored vector in double precision."""
+    return np.frombuffer(vec, np.float32 if vec[:1] == b"f" else np.float64, offset=1).astype(np.float64)
 
 
 def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one tile: for each vector that has some, the vectors linked here and the least id of its component here."""
-    none = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
-    pdf = pdf.sort_values("rep", kind="stable")
+    """Links of one tile: for each entry that has some, the vectors linked here and the least number of its component here."""
+    none = pd.DataFrame({"node": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
+    pdf = pdf.sort_values("node", kind="stable")
     same, pivot = bool(pdf.ti.iloc[0] == pdf.tj.iloc[0]), int(pdf["pivot"].iloc[0])
-    x = np.stack([np.frombuffer(v) for v in pdf.vec])
+    x = np.stack([_numbers(v) for v in pdf.vec])
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    desc = np.stack(pdf.desc.to_numpy())
-    first, weight, reps = pdf.part.to_numpy() == pdf.ti.iloc[0], pdf.m.to_numpy(), pdf.rep.to_numpy()
+    desc = np.stack([np.frombuffer(d, np.int16) for d in pdf.desc])
+    first, weight, nodes = pdf.part.to_numpy() == pdf.ti.iloc[0], pdf.m.to_numpy(), pdf.node.to_numpy()
     numbers = np.unique(desc)
     member = np.zeros((len(x), len(numbers)), np.float32)
     np.put_along_axis(member, np.searchsorted(numbers, desc), 1, axis=1)
@@ -116,7 +124,7 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
         return none
     np.add.at(links, a, weight[b])
     np.add.at(links, b, weight[a])
-    root = np.arange(len(x))  # rows are ordered by id, so the least row is the least id
+    root = np.arange(len(x))  # rows are in the entries' order
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -127,10 +135,7 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
             break
         root = new
     has = np.flatnonzero(links)
-    return pd.DataFrame({"rep": reps[has], "links": links[has], "root": reps[root[has]]})
-
-
-
+    return pd.DataFrame({"node": nodes[has], "links": links[has], "root": nodes[root[has]]})
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -138,25 +143,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a
     label, link with nothing and are their own component. Vectors of unlike lengths don't link.
-    Repeated rows are vectors of their own. A null id can't name a component. An empty table gives an
-    empty result; other columns are ignored. The index finds a link if the two share a posted pivot
+    Labels may be of any type that groups. Repeated rows, and rows that share an id, are vectors of their
+    own. A null id can't name a component. An empty table gives an empty result; other columns are ignored. The index finds a link if the two share a posted pivot
     and SHARED described ones; the number of pivots is held to where that finds REACH of the pairs of
     the least cosine, whatever groups the table has, and tests measure the recall. Pairs of one dense
     group are all compared, so the work grows with the square of its unlike vectors.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
-    all_ = materialise(rows.mapInArrow(_valid, "vec_id long, label long, fp binary, vec binary"), "vectors")
-    valid = all_.where("fp is not null")
-    entries = materialise(valid.groupBy("label", "fp").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec")), "vector-entries")
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    label = rows.schema["label"]
+    all_ = materialise(rows.mapInArrow(_valid, StructType([StructField("vec_id", LongType()), label, StructField("fp", BinaryType()), StructField("vec", BinaryType())])), "vectors")
+    entries = all_.where("fp is not null").groupBy("label", "fp").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"))
+    entries = materialise(entries.withColumn("node", F.monotonically_increasing_id()), "vector-entries")
     n = entries.count()
     n_pivots = int(min(PIVOTS[1], max(PIVOTS[0], 2 ** math.ceil(math.log2(max(1, n)) / 2))))
-    lengths = [r.dim for r in entries.select((F.octet_length("vec") / 8).cast("int").alias("dim")).distinct().collect()]
-    counts = {dim: pivot_count(dim, n_pivots) for dim in lengths}
+    length = F.floor((F.octet_length("vec") - 1) / F.when(F.substring("vec", 1, 1) == F.lit(b"f"), 4).otherwise(8)).cast("int")
+    counts = {r.dim: pivot_count(r.dim, n_pivots) for r in entries.select(length.alias("dim")).distinct().collect()}
 
     def described_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for b in batches:
-            vecs = [np.frombuffer(v) for v in b.column(4).to_pylist()]
+            vecs = [_numbers(v) for v in b.column(0).to_pylist()]
             out: list = [None] * len(vecs)
             for dim in {len(v) for v in vecs}:
                 at = [i for i, v in enumerate(vecs) if len(v) == dim]
@@ -164,21 +172,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     made[dim] = make_pivots(dim, counts[dim])
                 x = np.stack([vecs[i] for i in at])
                 for i, d in zip(at, describe(x / np.linalg.norm(x, axis=1, keepdims=True), made[dim]), strict=True):
-                    out[i] = d.tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["label", "fp", "rep", "m", "vec", "desc"])
-
-    # entries whose ids are all null can't name a component; they keep their copies as links
-    named = entries.select("label", "fp", "rep", "m", "vec").where("rep is not null")
-    described = named.mapInArrow(described_by, "label long, fp binary, rep long, m long, vec binary, desc array<int>")
-    posts = described.withColumn("dim", F.octet_length("vec")).withColumn("pivot", F.explode(F.slice("desc", 1, POSTED)))
-    parts = posts.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
-    posts = posts.join(parts, ["label", "dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tiles = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", "dim", "pivot", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "part", "rep", "m", "vec", "desc")
-    found = materialise(tiles.groupBy("label", "dim", "pivot", "ti", "tj").applyInPandas(_tile, "rep long, links long, root long"), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    member = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector")
-    told = entries.select("label", "fp", "rep", "m").join(links, "rep", "left").join(member, F.col("rep") == F.col("node"), "left")
-    told = told.select(F.col("label").alias("__l"), F.col("fp").alias("__f"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+                    out[i] = d.astype(np.int16)
+            lists = pa.array([d[:POSTED].tolist() for d in out], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(v) for v in vecs], pa.int32()), pa.array([d.tobytes() for d in out], pa.binary()), lists], names=["vec", "node", "m", "label", "dim", "desc", "pivots"])
+
+    fields = [StructField("vec", BinaryType()), StructField("node", LongType()), StructField("m", LongType()), label, StructField("dim", IntegerType()), StructField("desc", BinaryType()), StructField("pivots", ArrayType(IntegerType()))]
+    described = materialise(entries.select("vec", "node", "m", "label").mapInArrow(described_by, StructType(fields)), "vector-described")
+    # lists of one vector end here, before any vector moves
+    lists = described.select("label", "dim", F.explode("pivots").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = materialise(lists.select(F.col("label").alias("__l"), F.col("dim").alias("__d"), F.col("pivot").alias("__p"), F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "vector-lists")
+    posts = looked_up(described.withColumn("pivot", F.explode("pivots")), lists, {"label": "__l", "dim": "__d", "pivot": "__p"}, "inner")
+    posts = posts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", "dim", "pivot", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "part", "node", "m", "vec", "desc")
+    found = materialise(tiles.groupBy("label", "dim", "pivot", "ti", "tj").applyInPandas(_tile, "node long, links long, root long"), "vector-links")
+    links = found.groupBy(F.col("node").alias("__n")).agg(F.sum("links").alias("links"))
+    member = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector").withColumnsRenamed({"node": "__c", "component": "klass"})
+    told = entries.drop("vec").join(links, F.col("node") == F.col("__n"), "left").join(member, F.col("node") == F.col("__c"), "left")
+    told = materialise(told.select("label", "fp", "rep", F.coalesce("klass", "node").alias("klass"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n")), "vector-told")
+    least = told.groupBy(F.col("klass").alias("__k")).agg(F.min("rep").alias("c"))
+    told = told.join(least, F.col("klass") == F.col("__k")).select(F.col("label").alias("__l"), F.col("fp").alias("__f"), "n", "c")
     out = all_.drop("vec").join(told, (F.col("label") == F.col("__l")) & (F.col("fp") == F.col("__f")), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
