@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from heddle.llm.common import SPACES, append_columns, materialise
+from heddle.llm.common import SPACES, append_columns, looked_up, materialise
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -20,39 +20,31 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeated(words: list) -> int:
-    """Words that lie in a window of WINDOW words found twice or more."""
+    """Words that lie in a window of WINDOW words found twice or more.
+
+    Windows are numbered by ranking pairs, exactly: a window of k + 1 words is the number of its first k and its last word.
+    Only windows whose first k words are found again go on.
+    """
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    if len(words) > 200_000:
-        return _repeated_by_number(words)
-    windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(windows)) == n:
-        return 0
-    first: dict = {}
-    marked = bytearray(len(words))
-    one = b"\x01" * WINDOW
-    for i, x in enumerate(windows):
-        j = first.setdefault(x, i)
-        if j != i:
-            marked[i : i + WINDOW] = one
-            marked[j : j + WINDOW] = one
-    return sum(marked)
-
-
-def _repeated_by_number(words: list) -> int:
-    """The same for very long texts, in arrays: windows are numbered by ranking pairs, exactly."""
     numbers: dict = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    codes = ids
+    at, codes = np.arange(n), ids[:n]
     for k in range(1, WINDOW):
-        codes = np.unique(codes[: len(words) - k] * len(numbers) + ids[k:], return_inverse=True)[1]
-    again = np.bincount(codes)[codes] > 1
-    ends = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(ends, at, 1)
-    np.add.at(ends, at + WINDOW, -1)
-    return int((np.cumsum(ends[:-1]) > 0).sum())
+        codes = codes * len(numbers) + ids[at + k]
+        order = np.argsort(codes)
+        ranked = codes[order]
+        new = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        sizes = np.diff(np.r_[new, len(ranked)])
+        again = np.repeat(sizes > 1, sizes)
+        if not again.any():
+            return 0
+        at, codes = at[order[again]], np.repeat(np.arange(len(new)), sizes)[again]
+    marked = np.zeros(len(words), bool)
+    for k in range(WINDOW):
+        marked[at + k] = True
+    return int(marked.sum())
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -110,24 +102,28 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("__host"), F.col(text_col).alias("__text"))
     counted = materialise(with_counts(narrow, "__text").drop("__text"), "quality")
-    bad = host_rates(counted, "__host").where(F.col("rate") > max_rate).select(F.col("host").alias("__bad"))
-    joined = counted.join(bad, F.col("__host") == F.col("__bad"), "left").withColumn("base_failed", base_failed())
+    joined = looked_up(counted, bad_hosts(counted, "__host", max_rate), {"__host": "__bad"}).withColumn("base_failed", base_failed())
     return joined.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("__bad").isNull()).alias("kept"))
 
 
+def bad_hosts(counted: DataFrame, host_col: str, max_rate: float) -> DataFrame:
+    """(__bad): the hosts whose shrunk failure rate is over `max_rate`, stored."""
+    return materialise(host_rates(counted, host_col).where(F.col("rate") > max_rate).select(F.col("host").alias("__bad")), "quality-hosts")
+
+
 def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with their columns, that quality_verdicts would keep."""
-    counted = materialise(with_counts(docs.select(F.col(host_col).alias("__host"), F.col(text_col).alias("__text")), "__text").drop("__text"), "quality")
-    bad = host_rates(counted, "__host").where(F.col("rate") > max_rate).select(F.col("host").alias("__bad"))
-    passed = with_counts(docs.withColumn("__text", F.col(text_col)), "__text").where(~base_failed()) if not set(COUNTS) & set(docs.columns) else _passed_beside(docs, text_col)
-    return passed.join(bad, F.col(host_col) == F.col("__bad"), "left").where(F.col("__bad").isNull()).select(*docs.columns)
-
-
-def _passed_beside(docs: DataFrame, text_col: str) -> DataFrame:
-    """For tables that have columns named as COUNTS: theirs are set aside meanwhile."""
-    aside = {c: f"__aside_{c}" for c in COUNTS if c in docs.columns}
-    out = with_counts(docs.withColumnsRenamed(aside), text_col).where(~base_failed()).drop(*COUNTS)
-    return out.withColumnsRenamed({v: k for k, v in aside.items()})
+    """The rows of `docs`, with their columns, that quality_verdicts would keep.
+
+    So null, empty and short texts go, rows without a host are judged by the base rules alone, repeated
+    rows stay or go together, an empty table stays empty, and columns may have any names. Texts are
+    counted once: the table between holds the rows with their counts, the texts of failed ones left out.
+    """
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    text, host = (names[docs.columns.index(c)] for c in (text_col, host_col))
+    counted = with_counts(docs.toDF(*names), text)
+    counted = materialise(counted.withColumn(text, F.when(~base_failed(), F.col(text))), "quality")
+    kept = looked_up(counted.where(~base_failed()), bad_hosts(counted, host, max_rate), {host: "__bad"}).where("__bad is null")
+    return kept.select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns, strict=True)])
 
 
 SQL = r"""
