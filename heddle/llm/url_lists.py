@@ -107,8 +107,8 @@ WITH caps AS (
   UNION ALL SELECT 'd:example.net', 'domain', DATE '2024-03-01', DATE '2024-05-01'
 ), keyed AS (
   SELECT page_id, fetched, unnest(list_concat(
-    list_transform(range(1, least(len(string_split(host, '.')), 8) + 1), lambda k: 'd:' || array_to_string(string_split(host, '.')[-k:], '.')),
-    list_transform(range(1, least(len(parts), 8) + 1), lambda k: 'p:' || host || '/' || array_to_string(parts[1:k], '/')))) AS key
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: 'd:' || array_to_string(string_split(host, '.')[-k:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda k: 'p:' || host || '/' || array_to_string(parts[1:k], '/')))) AS key
   FROM caps WHERE host <> ''
 ), met AS (
   SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM keyed JOIN live USING (key)
