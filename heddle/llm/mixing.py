@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from heddle.llm.common import materialise
 
@@ -116,26 +117,26 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: in
 
 
 def taken(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """`sized` (id, source, size) with source_size, target and `copies`, how often the mix takes the row.
+    """`sized` (id, source, size, perhaps mark) with source_size, target and `copies`, how often the mix takes the row.
 
-    Within a source and length documents are ordered by a seeded hash. A length of many documents is
+    Within a source and length documents are ordered by a seeded hash, then by id and mark. A length of many documents is
     parted by hash into groups of about GROUP_ROWS; the groups before the one where the wanted number
     ends are taken whole, so that only one group needs its rows ordered, however many copies share a length.
     """
+    named = [c for c in ("id", "mark") if c in sized.columns]
     plans = materialise(plan(sized, weights, max_repeats), "mix-plan")
-    u = F.xxhash64("id", F.lit(seed))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS))
     p = plans.select(F.col("source").alias("__s"), F.col("size").alias("__n"), "n", "source_size", "target", "passes", "extra")
     rows = sized.join(p, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n"))).drop("__s", "__n")
-    rows = materialise(rows.withColumn("u", u).withColumn("g", F.pmod(F.shiftright("u", 20), parts)), "mix-rows")
+    rows = materialise(rows.withColumn("u", F.xxhash64(*named, F.lit(seed))).withColumn("g", F.pmod(F.shiftright("u", 20), parts)), "mix-rows")
     groups = rows.groupBy("source", "size", "g", "extra").agg(F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("source", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = groups.select(F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("g").alias("__g"), "c", (F.col("extra") - before).alias("left"))
     rows = rows.join(groups, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")) & (F.col("g") == F.col("__g"))).drop("__s", "__n", "__g")
     whole = rows.where("left <= 0 or left >= c").withColumn("more", (F.col("left") > 0).cast("long"))
-    ordered = F.row_number().over(Window.partitionBy("source", "size", "g").orderBy("u", F.col("id")))
+    ordered = F.row_number().over(Window.partitionBy("source", "size", "g").orderBy("u", *named))
     split = rows.where("left > 0 and left < c").withColumn("more", (ordered <= F.col("left")).cast("long"))
-    return whole.unionByName(split).select("id", "source", "size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies"))
+    return whole.unionByName(split).select(*named, "source", "size", "source_size", "target", (F.col("passes") + F.col("more")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
@@ -153,15 +154,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The mix itself: every row of `docs`, with its columns, as often as it is taken.
 
-    Copies are joined by id; rows that share an id are told apart by their place among them.
+    Rows without words, null texts among them, add nothing to a budget and are taken as often as their
+    source's whole passes. Copies are looked up by id, source and the text's hash, so rows that share
+    an id are told apart by their texts; of rows equal in all three each gets its even share, and where
+    that leaves a rest the hash of their plain columns tells who gets it. Null sources form one source.
+    An empty table stays empty; columns may have any names. Texts are shuffled once.
     """
-    place = F.row_number().over(Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col)))
-    sized = docs.withColumn("__size", word_count(F.col(text_col)))
-    out = taken(materialise(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("__size").alias("size")), "mix-sizes"), weights, seed)
-    copies = out.where("copies > 0").groupBy("id", "source", "size").agg(F.collect_list("copies").alias("__copies")).withColumnsRenamed({"id": "__i", "source": "__s", "size": "__z"})
-    rows = sized.join(copies, F.col(id_col).eqNullSafe(F.col("__i")) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    rows = rows.withColumn("__place", place).where(F.col("__place") <= F.size("__copies"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.element_at("__copies", F.col("__place")).cast("int")))).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text, source = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col, source_col))
+    rows = docs.toDF(*names).withColumn("mark", F.xxhash64(text))
+    sized = materialise(rows.select(id_.alias("id"), source.alias("source"), word_count(text).alias("size"), "mark"), "mix-sizes")
+    keys = taken(sized, weights, seed).groupBy(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("mark").alias("__m")).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    keys = materialise(keys.where("copies > 0"), "mix-copies")
+    met = rows.join(keys, id_.eqNullSafe(F.col("__i")) & source.eqNullSafe(F.col("__s")) & (F.col("mark") == F.col("__m")))
+    even = met.where("copies % n = 0").withColumn("times", F.expr("copies div n"))
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
+    place = F.row_number().over(Window.partitionBy("__i", "__s", "__m").orderBy(F.xxhash64(*plain)))
+    rest = met.where("copies % n <> 0").withColumn("place", place).withColumn("times", F.expr("copies div n + if(place <= copies % n, 1, 0)")).drop("place")
+    out = even.unionByName(rest).where("times > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*names).toDF(*docs.columns)
 
 
 def op2_mix_sources(spark, sf_dir):
