@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import fresh
+
 #: Prime size of the table; it bounds what is broadcast, and should be over 100 times the shards.
 TABLE_SIZE = 65_537
 MAX_TABLE = 4_000_037
@@ -57,14 +59,16 @@ def slot_of(key, size: int = TABLE_SIZE):
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long") % size).cast("int")
 
 
-def assign_shards(df: DataFrame, key_col: str, shards: dict[str, int] | list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """`df` with __slot and __shard. No shuffle: the table, of `size` short rows, is broadcast.
+def assign_shards(df: DataFrame, key_col: str, shards: dict[str, int] | list[str], size: int = TABLE_SIZE, slot_col: str = "__slot", shard_col: str = "__shard") -> DataFrame:
+    """`df` with `slot_col` and `shard_col`. No shuffle: the table, of `size` short rows, is broadcast.
 
-    Null keys share one slot, equal keys one shard; repeated rows and other columns stay; an empty
-    table stays empty.
+    Null keys share one slot, equal keys one shard; repeated rows and other columns stay, but columns
+    so named give way; an empty table stays empty.
     """
-    table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), "__slot int, __shard string")
-    return df.withColumn("__slot", slot_of(F.col(key_col), size)).join(F.broadcast(table), "__slot").select(*df.columns, "__slot", "__shard")
+    others = [c for c in df.columns if c not in (slot_col, shard_col)]
+    slot, at, shard = fresh(df, "__s", "__at", "__sh")
+    table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), f"{at} int, {shard} string")
+    return df.withColumn(slot, slot_of(F.col(key_col), size)).join(F.broadcast(table), F.col(slot) == F.col(at)).select(*others, F.col(slot).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def production_shards(n: int = 64) -> dict[str, int]:
@@ -74,4 +78,4 @@ def production_shards(n: int = 64) -> dict[str, int]:
 
 def op8_shard_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return assign_shards(docs, "doc_id", production_shards()).select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return assign_shards(docs, "doc_id", production_shards(), slot_col="slot", shard_col="shard")
