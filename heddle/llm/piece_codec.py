@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three transducers. The normaliser rewrites spaces (the dummy prefix, spaces
-as U+2581); a model with a compiled character map is refused. The lexicon reads a piece's characters and writes
-its id. Byte fallback reads a character that no piece covers and writes its UTF-8 bytes' ids. A text is
-composed with them into a lattice of its positions and the tropical-semiring shortest path is taken.
-
-In a unigram model an arc weighs minus its piece's score. In a byte-pair model the weight sits on
-pairs of arcs: 0 if merging the two pieces' characters by rank gives back these two pieces, else
-infinite, so the one path of finite weight is the encoding. Removing the last piece of an encoding
-leaves the encoding of what is before it, so each position has one such path and the search keeps one state.
-
-Texts are cut before runs of spaces, and such parts again where a run of letters and digits meets
-other characters, if the two are neighbours in no piece: no arc, and so no path, crosses these places.
-Each part's path is remembered.
+A model file is compiled into three transducers. The normaliser reads UTF-8 by the longest key of the
+model's character map, and writes its value; user symbols pass unread; then spaces are squeezed, prefixed
+and written as U+2581, as the model says. The lexicon reads a piece's characters and writes its id: an
+automaton finds all arcs that end at a position. Byte fallback reads one character and writes the ids of
+its UTF-8 bytes, or the unknown id. A text is composed with the first, which has one path; what it writes
+is composed with the other two into a lattice of its positions, whose tropical-semiring shortest path,
+the least sum of weights, is the encoding.
+
+In a unigram model an arc weighs minus its piece's score, a user symbol's little, and fallback 10 more
+than any piece. In a byte-pair model the weight sits on pairs of arcs: 0 if merging the two pieces'
+characters by rank gives back these two pieces, else infinite; fallback weighs 1, so that it is taken only
+where no piece reads the character. Removing the last piece of such an encoding leaves the encoding of
+what is before it, so each position has one path of weight 0 and the search keeps one state for it.
+
+Texts are cut around a byte-pair model's user symbols, before runs of spaces, and such parts again where a run of letters and
+digits meets other characters, if the two are neighbours in no piece: no arc, and so no path, crosses
+these places. Each part's path is remembered.
 """
 
 from __future__ import annotations
@@ -31,15 +35,99 @@ from heddle.llm.common import append_columns
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and pieces of parts whose paths a worker remembers: twice as many, the older half of which goes when the newer is full.
-REMEMBERED_PARTS, REMEMBERED = 200_000, 300_000
+REMEMBERED_PARTS, REMEMBERED = 200_000, 150_000
 #: Likewise pairs of pieces whose weight it remembers.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 _RUNS = re.compile(r"\w+|\W+")
 
 
+class CharacterMap:
+    """The compiled map of a model: a double array over UTF-8 bytes, then the values, each ended by a zero byte.
+
+    A unit holds a label (8 bits and the highest), an offset (from bit 10 on, shifted by 8 if bit 9 is
+    set) and, in bit 8, whether a value follows; the value's place is in the lower 31 bits of the unit there.
+    """
+
+    def __init__(self, compiled: bytes):
+        size = int.from_bytes(compiled[:4], "little")
+        self.units = np.frombuffer(compiled, "<u4", size // 4, 4).tolist()
+        self.values = compiled[4 + size :]
+        # characters that no key reads alone, nor with others of them: only the last of a run may begin a longer key
+        plain = [c for c in range(1, 128) if self._longest(bytes([c]), 0) is None]
+        inert = [c for c in plain if all(self._step(self._step(self._root(), c), x) is None for x in range(1, 128))]
+        self.inert = re.compile(f"[{''.join(re.escape(chr(c)) for c in inert)}]+".encode() if inert else b"(?!)")
+
+    def _root(self) -> int:
+        return self._offset(self.units[0])
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _step(self, at: int | None, byte: int) -> int | None:
+        """The place of the units that follow `byte`; None if there are none."""
+        if at is None or (to := at ^ byte) >= len(self.units) or self.units[to] & 0x800000FF != byte:
+            return None
+        return to ^ self._offset(self.units[to])
+
+    def _longest(self, data: bytes, start: int) -> tuple[int, bytes] | None:
+        """(end, value) of the longest key at `start`."""
+        at, best = self._root(), None
+        for end in range(start, len(data)):
+            to = at ^ data[end]
+            if to >= len(self.units) or self.units[to] & 0x800000FF != data[end]:
+                break
+            at = to ^ self._offset(self.units[to])
+            if self.units[to] >> 8 & 1:
+                value = self.units[at] & 0x7FFFFFFF
+                best = end + 1, self.values[value : self.values.index(b"\0", value)]
+        return best
+
+    def write(self, text: str) -> str:
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            if m := self.inert.match(data, at):
+                end = m.end() - (m.end() < len(data) and data[m.end()] > 127)
+                out.append(data[at:end])
+                at = end
+                if at == len(data):
+                    break
+            if got := self._longest(data, at):
+                out.append(got[1])
+                at = got[0]
+            else:
+                end = at + 1
+                while end < len(data) and data[end] & 192 == 128:
+                    end += 1
+                out.append(data[at:end])
+                at = end
+        return b"".join(out).decode()
+
+
+class Normaliser:
+    """A model's first transducer."""
+
+    def __init__(self, spec, user: re.Pattern | None):
+        self.prefix, self.squeeze, self.escape, self.user = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, user
+        self.map = CharacterMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
+
+    def write(self, text: str) -> str:
+        if self.map:
+            parts = self.user.split(text) if self.user else [text]  # every second one is a user symbol
+            text = "".join(x if i % 2 else self.map.write(x) for i, x in enumerate(parts))
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if not text:
+            return ""
+        if self.prefix:
+            text = " " + text
+        text = text.replace(" ", SPACE) if self.escape else text
+        return text.rstrip(SPACE if self.escape else " ") if self.squeeze else text
+
+
 class Recent:
     """A bounded memory: entries that are used again move to the newer half."""
 
@@ -71,45 +159,40 @@ class Transducer:
 
         proto = pb.ModelProto()
         proto.ParseFromString(model)
-        norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or norm.name not in ("identity", ""):
-            raise ValueError(f"the normaliser {norm.name!r} has a character map, which isn't compiled here")
-        self.prefix, self.squeeze, self.escape = norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces
         self.unigram = proto.trainer_spec.model_type == pb.TrainerSpec.UNIGRAM
-        if not self.unigram and proto.trainer_spec.model_type != pb.TrainerSpec.BPE:
-            raise ValueError("only unigram and byte-pair models are compiled here")
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
         self.scores = [p.score for p in proto.pieces]
+        if not self.unigram and (proto.trainer_spec.model_type != pb.TrainerSpec.BPE or UNUSED in self.kinds):
+            raise ValueError("only unigram models, and byte-pair models without unused pieces, are compiled here")
+        if proto.trainer_spec.treat_whitespace_as_suffix or proto.denormalizer_spec.precompiled_charsmap:
+            raise ValueError("models with spaces as suffixes, or with a denormaliser, aren't compiled here")
+        users = sorted((p for p, k in zip(self.pieces, self.kinds, strict=True) if k == USER), key=len, reverse=True)
+        self.users = re.compile(f"({'|'.join(map(re.escape, users))})") if users else None
+        self.normaliser = Normaliser(proto.normalizer_spec, self.users)
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.id_bytes = {i: b for b, i in self.byte_ids.items()}
         self.lexicon = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.neighbours = {p[i : i + 2] for p in self.lexicon for i in range(len(p) - 1)}
         self.space_starts = not any(SPACE in p.lstrip(SPACE) for p in self.lexicon)
-        self.low = min(self.scores, default=0.0) - 10.0
+        normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL]
+        low, high = min(normal, default=0.0), max([*normal, 0.0])
+        #: The weights of arcs, and of fallback.
+        self.weights = [0.1 - len(p.encode()) * high if k == USER else -s for p, k, s in zip(self.pieces, self.kinds, self.scores, strict=True)]
+        self.fallback = 10.0 - low if self.unigram else 1.0
         self.whole = Recent(REMEMBERED_PARTS)  # parts' ids as 32-bit numbers
         self.paths = Recent(REMEMBERED)  # the same of parts cut again
         self.unlike: set[str] = set()  # parts that don't decode to themselves
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (first + 1) * pieces + second; first -1: alone
         self.arcs = ahocorasick.Automaton()  # all arcs that end at a position, longest first
         for p, i in self.lexicon.items():
             self.arcs.add_word(p, (i, len(p)))
         self.arcs.make_automaton()
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.space_starts else None
 
-    def normalise(self, text: str) -> str:
-        """The normaliser's output."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        if self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
-
     def _fallback(self, c: str) -> list[int]:
-        return [self.byte_ids[b] for b in c.encode("utf-8")] if self.byte_ids else [self.unknown]
+        return [self.byte_ids[b] for b in c.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
     def _merged(self, left: str, right: str) -> list[str]:
         """The characters of both, merged pair by pair, best rank first and then leftmost."""
@@ -126,38 +209,37 @@ class Transducer:
 
     def _pair(self, a: int, b: int) -> bool:
         """If the weight of b after a is finite."""
-        ok = self.pairs.get((a, b))
+        key = (a + 1) * len(self.pieces) + b
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self._merged(self.pieces[a], self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            ok = self.pairs[key] = self._merged(self.pieces[a], self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
 
     def _path(self, part: str) -> list[int]:
-        """The shortest path over one part's lattice."""
+        """The shortest path over one part's lattice, by positions."""
         n = len(part)
-        last = [-2] * (n + 1)  # the arc that reaches a position: a piece's id; -2 byte fallback
-        last[0] = -1
+        best = [0.0] * (n + 1)
+        last = [-1] + [-2] * n  # the arc that reaches a position: a piece's id; -2 byte fallback
         size = [1] * (n + 1)
-        if self.unigram:
-            weight = [k * -self.low for k in range(n + 1)]
-            done = 0
-            for end, (p, m) in self.arcs.iter(part):
-                while done <= end:  # fallback arcs up to here
-                    done += 1
-                    weight[done] = min(weight[done], weight[done - 1] - self.low)
-                w = weight[end + 1 - m] - (self.scores[p] if self.kinds[p] != USER else 0.1 - m * 100)
-                if w < weight[end + 1]:
-                    weight[end + 1], last[end + 1], size[end + 1] = w, p, m
-        else:
-            known = self.pairs.get
-            for end, (p, m) in self.arcs.iter(part):
-                if last[end + 1] != -2:
-                    continue
-                before = last[end + 1 - m]
-                ok = known((before, p)) if before >= 0 else m == 1 or self._alone(p)
-                if ok or ok is None and self._pair(before, p):
-                    last[end + 1], size[end + 1] = p, m
+        weights, known, unigram, fallback, many = self.weights, self.pairs.get, self.unigram, self.fallback, len(self.pieces)
+        done = 0
+        for end, (p, m) in self.arcs.iter(part):
+            end += 1
+            if not unigram:
+                if last[end] == -2:  # finite weights of pieces are 0, so the first such arc has the least sum, and fallback none less
+                    before = last[end - m]
+                    ok = known((before + 1) * many + p) if before >= 0 else m == 1 or self._alone(p)
+                    if ok or ok is None and self._pair(before, p):
+                        last[end], size[end] = p, m
+                continue
+            while done < end:  # fallback arcs up to here
+                done += 1
+                best[done] = best[done - 1] + fallback
+            w = best[end - m] + weights[p]
+            if w < best[end]:
+                best[end], last[end], size[end] = w, p, m
         out: list[int] = []
         i = n
         while i:
@@ -168,9 +250,9 @@ class Transducer:
 
     def _alone(self, p: int) -> bool:
         """If a piece's own characters merge back to it."""
-        ok = self.pairs.get((-1, p))
+        ok = self.pairs.get(p)
         if ok is None:
-            ok = self.pairs[-1, p] = self._merged(self.pieces[p], "") == [self.pieces[p]]
+            ok = self.pairs[p] = self._merged(self.pieces[p], "") == [self.pieces[p]]
         return ok
 
     def _cut_again(self, part: str) -> list[str]:
@@ -189,6 +271,8 @@ class Transducer:
         """A part's ids, from the remembered paths of its pieces."""
         if (ids := self.whole.find(part)) is not None:
             return ids
+        if self.users and not self.unigram and self.users.fullmatch(part):
+            return array("i", [self.lexicon[part]]).tobytes()
         out = []
         for p in self._cut_again(part):
             ids = self.paths.find(p)
@@ -209,23 +293,34 @@ class Transducer:
 
     def encode_bytes(self, text: str) -> tuple[bytes, bool]:
         """A text's ids as 32-bit numbers, and if they decode to the text, spaces U+2581 read as spaces."""
-        normal = self.normalise(text)
-        parts = self.cut.findall(normal) if self.cut else [normal] if normal else []
+        normal = self.normaliser.write(text)
+        if self.users and not self.unigram:  # every second part is a user symbol
+            cut = [self._parts(x) if i % 2 == 0 else [x] for i, x in enumerate(self.users.split(normal))]
+            parts = [x for p in cut for x in p]
+        else:
+            parts = self._parts(normal)
         found = list(map(self.whole.new.get, parts))
         if None in found:
             found = [self._ids_of(p) if x is None else x for p, x in zip(parts, found, strict=True)]
         same = not self.unlike or self.unlike.isdisjoint(parts)
-        if self.squeeze or not self.escape:
-            same = same and self._plain(normal) == (text.replace(SPACE, " ") if self.escape else text)
-        return b"".join(found), same
+        if self.normaliser.squeeze or self.normaliser.map or not self.normaliser.escape:
+            same = same and self._plain(normal) == (text.replace(SPACE, " ") if self.normaliser.escape else text)
+        ids = b"".join(found)
+        if not self.byte_ids and found:  # unknown characters in a row are one
+            every = np.frombuffer(ids, np.int32)
+            ids = every[np.r_[True, (every[1:] != self.unknown) | (every[:-1] != self.unknown)]].tobytes()
+        return ids, same
+
+    def _parts(self, normal: str) -> list[str]:
+        return self.cut.findall(normal) if self.cut else [normal] if normal else []
 
     def encode(self, text: str | None) -> list[int] | None:
         return None if text is None else memoryview(self.encode_bytes(text)[0]).cast("i").tolist()
 
     def _plain(self, text: str) -> str:
         """A normalised text without the dummy prefix and the spaces' marks."""
-        text = text.replace(SPACE, " ") if self.escape else text
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        text = text.replace(SPACE, " ") if self.normaliser.escape else text
+        return text[1:] if self.normaliser.prefix and text.startswith(" ") else text
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The inverse transducer: bytes' ids to characters, U+2581 to spaces, without the dummy prefix."""
@@ -287,7 +382,11 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL) -
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """`df` with the text of its ids; null ids give a null text."""
+    """`df` with the text of its ids.
+
+    Null ids give a null text, no ids an empty one; repeated rows give repeated rows; a column named as
+    the text is replaced; an empty table stays empty.
+    """
     with open(model, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
