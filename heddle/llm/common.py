@@ -75,6 +75,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored working table that everything made of it has been stored since."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's working tables; frames that read them end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
@@ -146,7 +154,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        links = materialise(small.where("u <> v").distinct(), f"{name}-stars")
+        before, links = links, materialise(small.where("u <> v").distinct(), f"{name}-stars")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.groupBy("u").agg(F.min("v").alias("c")).select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("c").alias("component")), F.struct(F.col("c").alias("node"), F.col("c").alias("component")))).alias("x")).select("x.node", "x.component").distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import MOST_BROADCAST, bounded_batches, components, materialise
+from heddle.llm.common import MOST_BROADCAST, bounded_batches, components, discard, materialise
 
 WORDS = 5
 #: The least Jaccard similarity of a link, in hundredths.
@@ -425,8 +425,10 @@ def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, known, name:
     rows = materialise(members.unionByName(own), f"{name}-groups")
     bits = pairs.sparkSession.sparkContext.broadcast(_filter_bits(rows.select("key").distinct()))
     sets = texts.mapInArrow(_sets_of(known, bits), "key long, sid long, n int, set binary")
-    rows = rows.join(sets.select("key", "sid", "set"), ["key", "sid"])
-    return materialise(rows.groupBy("probe", "part").applyInPandas(_verify, "a long, b long"), name)
+    whole = rows.join(sets.select("key", "sid", "set"), ["key", "sid"])
+    found = materialise(whole.groupBy("probe", "part").applyInPandas(_verify, "a long, b long"), name)
+    discard(rows)
+    return found
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -436,7 +438,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = materialise(texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_profile, PROFILE), "ngram-profile")
     rows = profile.where("gram is null").drop("gram")
-    named = materialise(rows.where("sid is not null").groupBy("sid", "hi").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "ngram-named")
+    named = stored = materialise(rows.where("sid is not null").groupBy("sid", "hi").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "ngram-named")
     # sets of one 64-bit name: n^2 / 2^65 are to be expected, so none, or at 10^11 sets a few hundred
     clashing = frozenset(r.sid for r in named.groupBy("sid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(MOST_BROADCAST).collect())
     if clashing:
@@ -450,7 +452,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     keys = named.select("sid", F.coalesce("least", "sid").alias("key"), "n")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - PERCENT) // 100 // BUCKET_GRAMS)
     packed = texts.select("text").mapInArrow(_postings(known, buckets), "bucket int, sids binary, sizes binary, runs binary, grams binary")
-    lists = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LISTS)
+    lists = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, LISTS)
     same = [F.first(c).alias(c) for c in ("split", "hub", "hub_n", "sids", "sizes")]
     lists = materialise(lists.groupBy("sig", "sig2", "part").agg(F.sum("grams").alias("grams"), *same), "ngram-lists")
     members = lists.select("sig", "grams", "hub", "hub_n", F.explode(F.arrays_zip("sids", "sizes")).alias("x")).select("sig", "grams", "hub", "hub_n", F.col("x.sids").alias("sid"), F.col("x.sizes").alias("n"))
@@ -463,14 +465,17 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     tried = materialise(tries.where((F.col("sid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("probe"), "sid").distinct(), "ngram-tried")
     hopeful = materialise(screened(tried, members, keys), "ngram-hopeful")
     edges = verified(hopeful, keys, texts, known, "ngram-hub-links")
+    discard(hopeful)
     klass = components(edges, "ngram-hubs")
     labelled = members.select("sig", "grams", "sid", "n").join(klass.withColumnsRenamed({"node": "sid", "component": "klass"}), "sid", "left").withColumn("klass", F.coalesce("klass", "sid"))
     labelled = materialise(labelled, "ngram-labelled")
+    discard(lists)
     # of each list that has members of several components, those outside the largest one are paired with all others
     sizes = labelled.groupBy("sig", "klass").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("sig").agg(F.max_by("klass", F.struct("c", "klass")).alias("main"), F.count(F.lit(1)).alias("klasses")).where("klasses > 1").select("sig", "main")
-    opened = materialise(labelled.join(main, "sig").withColumn("aside", F.col("klass") != F.col("main")).drop("main"), "ngram-open")
-    opened = opened.join(lists_by_set(opened), "sid")
+    open_ = materialise(labelled.join(main, "sig").withColumn("aside", F.col("klass") != F.col("main")).drop("main"), "ngram-open")
+    discard(labelled)
+    opened = open_.join(lists_by_set(open_), "sid")
     other = opened.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("sid", "n", "klass", "aside", "lists")])
     # each pair in the first list that both are in
     n1, n2 = F.col("n"), F.col("n_2")
@@ -480,10 +485,16 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     pairs = cross.select(F.col("sid").alias("probe"), F.col("sid_2").alias("sid"))
     done = tried.select("probe", "sid").union(tried.select(F.col("sid").alias("probe"), F.col("probe").alias("sid")))
     pairs = materialise(pairs.join(done, ["probe", "sid"], "left_anti"), "ngram-cross")
+    for table in (open_, tried):
+        discard(table)
     more = verified(pairs, keys, texts, known, "ngram-cross-links")
+    discard(pairs)
     klass = components(edges.unionByName(more), "ngram")
     sets = named.select("sid", "least").join(klass, F.col("sid") == F.col("node"), "left")
-    return rows, materialise(sets.select("sid", "least", F.coalesce("component", "sid").alias("klass")), "ngram-classes")
+    sets = materialise(sets.select("sid", "least", F.coalesce("component", "sid").alias("klass")), "ngram-classes")
+    for table in (stored, edges, more):
+        discard(table)
+    return rows, sets
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
