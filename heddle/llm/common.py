@@ -21,6 +21,9 @@ ROW_GROUP = str(16 << 20)
 #: A lookup table of at most so many rows is broadcast; beyond it the join is a salted shuffle.
 MOST_BROADCAST, SALTS = 200_000, 32
 
+#: Spark's switch that deletes a query's shuffle files as soon as it ends; else they stay until the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -69,9 +72,17 @@ def working_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: lineage ends there and is safe from lost executors."""
+    """`df` written as Parquet to the shared folder and read back: lineage ends there and is safe from lost executors.
+
+    The write's shuffle files are deleted with it, as nothing reads them again.
+    """
     spark, path = df.sparkSession, working_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", spark.conf.get("parquet.block.size", ROW_GROUP)).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", spark.conf.get("parquet.block.size", ROW_GROUP)).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

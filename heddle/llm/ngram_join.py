@@ -239,6 +239,24 @@ def _pieces(grams: np.ndarray, sids: np.ndarray) -> np.ndarray:
     return (_mix(sids.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second ones, and so on: bytes that are mostly 0 stand together and cost a shuffle little."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _packed_set(grams: np.ndarray) -> bytes:
+    """An ascending set as its differences' planes, which a shuffle compresses better than the numbers."""
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _unpacked_set(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def _postings(frequent, buckets: int):
     """Batches of texts to rows (bucket, sids, sizes, runs, grams): prefix n-grams, packed by bucket."""
 
@@ -269,7 +287,7 @@ def _postings(frequent, buckets: int):
                 d = doc[lo:hi]
                 first = np.flatnonzero(np.diff(d, prepend=-1))
                 runs = np.diff([*first, len(d)]).astype(np.int32)
-                out.append((int(bucket[lo]), sids[d[first]].tobytes(), ns[d[first]].tobytes(), runs.tobytes(), grams[lo:hi].tobytes()))
+                out.append((int(bucket[lo]), sids[d[first]].tobytes(), _planes(ns[d[first]]), _planes(runs), _planes(grams[lo:hi])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "sids", "sizes", "runs", "grams"])
 
     return run
@@ -300,10 +318,10 @@ def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """
     sids, ns, grams = [], [], []
     for s, n, r, g in rows:
-        runs = np.frombuffer(r, np.int32)
+        runs = _from_planes(r, np.int32)
         sids.append(np.repeat(np.frombuffer(s, np.int64), runs))
-        ns.append(np.repeat(np.frombuffer(n, np.int32), runs))
-        grams.append(np.frombuffer(g, np.uint64))
+        ns.append(np.repeat(_from_planes(n, np.int32), runs))
+        grams.append(_from_planes(g, np.uint64))
     names = [x.split()[0] for x in LISTS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     sids, ns, grams = np.concatenate(sids), np.concatenate(ns), np.concatenate(grams)
@@ -340,10 +358,10 @@ def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of one probe, itself included (sid = probe): the pairs that are linked."""
     own = pdf.sid == pdf.probe
-    sets = [np.frombuffer(s, np.uint64) for s in pdf["set"][~own]]
+    sets = [_unpacked_set(s) for s in pdf["set"][~own]]
     if not own.any() or not sets:
         return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-    probe = np.frombuffer(pdf["set"][own].iloc[0], np.uint64)
+    probe = _unpacked_set(pdf["set"][own].iloc[0])
     others = pdf.sid[~own].to_numpy()
     hits = PrefixTree.build(sets).similar(probe)
     return pd.DataFrame({"a": pdf.probe.iloc[0], "b": others[hits]}).astype("int64")
@@ -377,7 +395,7 @@ def _sets_of(known, bits):
                 if len(s := shingles(text)):
                     sid = _named(s, clashing)
                     if doc_id is not None or may_have(sid):
-                        out.append((sid if doc_id is None else doc_id, sid, len(s), ordered(s, frequent).tobytes()))
+                        out.append((sid if doc_id is None else doc_id, sid, len(s), _packed_set(ordered(s, frequent))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "sid", "n", "set"])
 
@@ -472,10 +490,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     discard(lists)
     # of each list that has members of several components, those outside the largest one are paired with all others
     sizes = labelled.groupBy("sig", "klass").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("sig").agg(F.max_by("klass", F.struct("c", "klass")).alias("main"), F.count(F.lit(1)).alias("klasses")).where("klasses > 1").select("sig", "main")
+    main = sizes.groupBy("sig").agg(F.max_by("klass", F.struct("c", "klass")).alias("main"), F.count(F.lit(1)).alias("klasses"), F.sum("c").alias("members")).where("klasses > 1").select("sig", "main", "members")
     open_ = materialise(labelled.join(main, "sig").withColumn("aside", F.col("klass") != F.col("main")).drop("main"), "ngram-open")
     discard(labelled)
-    opened = open_.join(lists_by_set(open_), "sid")
+    # a list of two has its only pair tried: it tells what sets share, but has no pair to give
+    opened = open_.where("members > 2").drop("members").join(lists_by_set(open_), "sid")
     other = opened.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("sid", "n", "klass", "aside", "lists")])
     # each pair in the first list that both are in
     n1, n2 = F.col("n"), F.col("n_2")

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heddle.llm import common, ngram_join, pivot_index
@@ -34,6 +36,32 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.length()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    table = common.materialise(spark.range(10_000).selectExpr("id % 5000 AS k").groupBy("k").count(), "t")
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 5000
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
+
+
+def test_packed_sets():
+    """Sets and postings come back as they were, and what a shuffle's compression makes of them is smaller."""
+    numbers = np.random.default_rng(3).integers(0, 1 << 58, 500, np.uint64)
+    for grams in (numbers[:0], numbers[:1], np.sort(numbers), np.sort(numbers | np.uint64(9 << 58))):
+        assert (ngram_join._unpacked_set(ngram_join._packed_set(grams)) == grams).all()
+    size = lambda data: pa.compress(data, "lz4").size
+    assert size(ngram_join._packed_set(np.sort(numbers))) < 0.9 * size(np.sort(numbers).tobytes())
+    sizes = np.random.default_rng(4).integers(1, 2000, 300).astype(np.int32)
+    assert (ngram_join._from_planes(ngram_join._planes(sizes), np.int32) == sizes).all()
+    assert size(ngram_join._planes(sizes)) < 0.8 * size(sizes.tobytes())
+
+
 def _set(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
