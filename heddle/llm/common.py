@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,73 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOCAL_DIRS: dict[str, str] = {}
 
+#: Bytes of a word that are hashed by table, and words and bytes of texts that are hashed at once.
+TABLE_BYTES, HASHED_WORDS, HASHED_BYTES = 32, 1 << 13, 1 << 16
+
+#: Odd factors by which the places of an n-gram differ; no sum of some of them less others is divisible by 2^6.
+ODD = [np.uint64(x) for x in (0x5692161D100B05E5, 0xDBD238973A2B148B, 0x1E535EEDE31428F1, 0xB7A4712C74562915, 0xB6BF613DBEBB45DD)]
+
+
+def mix_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers to others, one to one, each bit of which depends on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A number for each byte at each of a word's first places (place * 256 + byte), and the same with A-Z read as a-z.
+EXACT = mix_bits(np.arange(1, TABLE_BYTES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+FOLDED = EXACT.reshape(TABLE_BYTES, 256).copy()
+FOLDED[:, 65:91] = FOLDED[:, 97:123]
+FOLDED = FOLDED.ravel()
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACES]] = True
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts in a row, and where in them each text's begin, with their number last.
+
+    `data`: the texts' bytes, `ends`: where the first begins, then where each ends. A word is the sum
+    of its bytes' numbers, mixed; one of over TABLE_BYTES bytes is hashed by xxh3.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    word = ~_SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    borders = ends[(ends > 0) & (ends < len(data))]
+    first[borders] = word[borders]
+    last[borders - 1] = word[borders - 1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), HASHED_WORDS):
+        size = np.minimum(sizes[lo : lo + HASHED_WORDS], TABLE_BYTES)
+        at = np.cumsum(size) - size
+        step = np.ones(int(at[-1] + size[-1]), np.uint8)  # a byte's place in its word, by adding up modulo 256
+        step[at[1:]] = (1 - size[:-1]) & 255
+        step[0] = 0
+        place = np.cumsum(step, dtype=np.uint8).astype(np.int64)
+        chars = data[place + np.repeat(starts[lo : lo + len(size)], size)]
+        place <<= 8
+        place |= chars
+        out[lo : lo + len(size)] = np.add.reduceat(table[place], at)
+    out = mix_bits(out)
+    for i in np.flatnonzero(sizes > TABLE_BYTES):
+        long = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        out[i] = xxh3_64_intdigest(long.lower() if table is FOLDED else long)
+    return out, np.searchsorted(starts, ends)
+
+
+def bounded_bytes(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about HASHED_BYTES together, one at least; `ends` as for word_hashes."""
+    lo = 0
+    while lo < len(ends) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + HASHED_BYTES, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """BATCH for the session's Python stages, unless the session has limits of its own."""

@@ -12,15 +12,16 @@ Equal sets are one entry from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import MOST_BROADCAST, bounded_batches, components, discard, materialise
+from heddle.llm.common import MOST_BROADCAST, bounded_batches, bounded_bytes, components, discard, materialise, word_hashes
+from heddle.llm.common import ODD as _ODD
+from heddle.llm.common import mix_bits as _mix
 
 WORDS = 5
 #: The least Jaccard similarity of a link, in hundredths.
@@ -36,32 +37,50 @@ COUNTED_GRAMS, WHOLE_LIST = 1_500_000, 17
 FILTER_BITS = 1 << 26
 
 _LOW = np.uint64((1 << 58) - 1)
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _sets(data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Each text's shingles; `data` and `ends` as for word_hashes."""
+    h, at = word_hashes(data, ends)
+    grams = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
+    for i in range(WORDS):
+        grams += h[i : i + len(grams)] * _ODD[i]
+    grams = _mix(grams) & _LOW
+    texts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    for lo, hi in texts:
+        if hi - lo > WORDS:
+            grams[lo : hi - WORDS + 1].sort()
+    new = np.ones(len(grams), bool)
+    np.not_equal(grams[1:], grams[:-1], out=new[1:])
+    new[at[:-1][at[:-1] < len(new)]] = True
+    for lo, hi in texts:
+        if hi - lo >= WORDS:
+            yield grams[lo : hi - WORDS + 1][new[lo : hi - WORDS + 1]]
+        elif hi == lo:
+            yield np.zeros(0, np.uint64)
+        else:
+            total = np.array([hi - lo], np.uint64)
+            for i in range(hi - lo):
+                total = total * _ODD[1] + _mix(h[lo + i : lo + i + 1] ^ _ODD[i])
+            yield _mix(total) & _LOW
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct n-grams of a text, each as 58 bits of hash; of fewer words, the whole sequence as one."""
-    from xxhash import xxh3_64_intdigest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) < WORDS:
-        total = np.array([len(words)], np.uint64)
-        for i, x in enumerate(h):
-            total = total * _ODD[1] + _mix(x[None] ^ _ODD[i])
-        return _mix(total) & _LOW
-    total = np.zeros(len(words) - WORDS + 1, np.uint64)
-    for i in range(WORDS):
-        total += _mix(h[i : len(words) - WORDS + 1 + i] ^ _ODD[i])
-    return np.unique(_mix(total) & _LOW)
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return next(_sets(data, np.array([0, len(data)])))
+
+
+def _shingled(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each of a column's texts, hashed some KB of texts at a time."""
+    column = column.fill_null("") if column.null_count else column
+    _, ends, data = column.buffers()
+    if not len(column):
+        return
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    for lo, hi in bounded_bytes(ends):
+        yield from _sets(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
 
 
 def needed(n: int, m: int, percent: int = PERCENT) -> int:
@@ -155,12 +174,6 @@ def _sid(grams: np.ndarray) -> tuple[int, int]:
     return ((x & (1 << 64) - 1) ^ 1 << 63) - (1 << 63), (x >> 64 ^ 1 << 63) - (1 << 63)
 
 
-def _texts(column: pa.Array, rows: int = 500) -> Iterator[str | None]:
-    """A column's texts, few of them as Python objects at once."""
-    for at in range(0, len(column), rows):
-        yield from column.slice(at, rows).to_pylist()
-
-
 PROFILE = "doc_id long, mark long, n long, sid long, hi long, gram long"
 
 
@@ -179,8 +192,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         ns, sids, his = [], [], []
-        for t in _texts(b.column(2)):
-            s = shingles(t)
+        for s in _shingled(b.column(2)):
             sid, hi = _sid(s)
             ns.append(len(s))
             sids.append(sid if len(s) else None)
@@ -217,13 +229,24 @@ def frequent_order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], classes[order].astype(np.uint64)
 
 
-def ordered(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The n-grams in the global order: the class of frequent ones leads each number."""
+def ordering(frequent: tuple[np.ndarray, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that puts n-grams in the global order: the class of frequent ones leads each number."""
     known, classes = frequent
-    if len(known) and len(grams):
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        grams = grams | np.where(known[at] == grams, classes[at] << np.uint64(58), np.uint64(0))
-    return np.sort(grams)
+    maybe = np.zeros(1 << 20, bool)  # by an n-gram's highest 20 bits: most that aren't frequent are told by it
+    maybe[(known >> np.uint64(38)).astype(np.int64)] = True
+
+    def ordered(grams: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(maybe[(grams >> np.uint64(38)).astype(np.int64)])
+        if not len(hit):
+            return np.sort(grams)
+        found = grams[hit]
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        same = known[at] == found
+        grams = grams.copy()
+        grams[hit[same]] |= classes[at[same]] << np.uint64(58)
+        return np.sort(grams)
+
+    return ordered
 
 
 def _named(grams: np.ndarray, clashing: frozenset) -> int:
@@ -262,14 +285,14 @@ def _postings(frequent, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, clashing), seen = frequent.value, set()
+        in_order = ordering(known)
         for b in batches:
             prefixes, sids, ns = [], [], []
-            for t in _texts(b.column(0)):
-                s = shingles(t)
+            for s in _shingled(b.column(0)):
                 sid = _named(s, clashing)
                 if len(s) and sid not in seen:
                     seen.add(sid)
-                    prefixes.append(ordered(s, known)[: prefix_size(len(s))])
+                    prefixes.append(in_order(s)[: prefix_size(len(s))])
                     sids.append(sid)
                     ns.append(len(s))
             if not prefixes:
@@ -313,8 +336,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """A bucket's packed postings to its lists of two or more sets (LISTS), long ones in several rows.
 
-    Lists of the same members are one, with their number of n-grams, named by 128 bits of the members'
-    hashes. The pieces of a list that is parted share the n-gram's name, and each has a hub of its own.
+    A member with which no other of its list can be linked, by their sizes alone, is left out: lists of
+    chance grow faster than the texts, and most of their pairs are of unlike sizes. Lists of the same
+    members are one, with their number of n-grams, named by 128 bits of the members' hashes. The pieces
+    of a list that is parted share the n-gram's name, keep all members, and each has a hub of its own.
     """
     sids, ns, grams = [], [], []
     for s, n, r, g in rows:
@@ -322,8 +347,6 @@ def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sids.append(np.repeat(np.frombuffer(s, np.int64), runs))
         ns.append(np.repeat(_from_planes(n, np.int32), runs))
         grams.append(_from_planes(g, np.uint64))
-    names = [x.split()[0] for x in LISTS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     sids, ns, grams = np.concatenate(sids), np.concatenate(ns), np.concatenate(grams)
     order = np.lexsort((sids, ns, _pieces(grams, sids), grams))
     sids, ns, grams = sids[order], ns[order], grams[order]
@@ -331,40 +354,71 @@ def _bucket_lists(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])
     sids, ns, grams, pieces = sids[new], ns[new], grams[new], pieces[new]
+    # members are ordered by size, so the next one or the one before is the nearest in size
+    near = (grams[1:] == grams[:-1]) & (pieces[1:] == pieces[:-1]) & (100 * ns[:-1].astype(np.int64) >= PERCENT * ns[1:].astype(np.int64))
+    keep = (grams >> np.uint64(58)).astype(np.int64) > WHOLE_LIST
+    keep[1:] |= near
+    keep[:-1] |= near
+    sids, ns, grams, pieces = sids[keep], ns[keep], grams[keep], pieces[keep]
+    if not len(grams):
+        return
     starts = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (pieces[1:] != pieces[:-1])])
     sizes = np.diff([*starts, len(grams)])
     split = (grams[starts] >> np.uint64(58)).astype(np.int64) > WHOLE_LIST
     mixed = _mix(sids.astype(np.uint64))
     sums = np.stack([np.add.reduceat(mixed, starts), np.add.reduceat(_mix(mixed ^ _ODD[3]), starts)])
-    many = np.flatnonzero((sizes > 1) & ~split)
-    first, times = np.unique(np.stack([*sums[:, many], sizes[many].astype(np.uint64)]), axis=1, return_index=True, return_counts=True)[1:] if len(many) else (np.zeros(0, np.int64),) * 2
-    apart = np.flatnonzero(split)
-    out, held = [], 0
-    for k, n_grams in zip([*many[first], *apart], [*times, *[1] * len(apart)], strict=True):
-        lo, size = int(starts[k]), int(sizes[k])
-        sig, sig2 = _mix(sums[:, k] ^ np.uint64(size)).astype(np.int64).tolist() if not split[k] else (int(_mix(grams[lo : lo + 1])[0].astype(np.int64)), int(grams[lo].astype(np.int64)))
-        hub = lo + size // 2  # the middle by size
-        for part, at in enumerate(range(lo, lo + size, LIST_ROWS)):
-            to = min(at + LIST_ROWS, lo + size)
-            out.append((sig, sig2, (int(pieces[lo]) << 32) + part, bool(split[k]), int(n_grams), int(sids[hub]), int(ns[hub]), sids[at:to], ns[at:to]))
-            held += to - at
-        if held > 1 << 18:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-            out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one probe, itself included (sid = probe): the pairs that are linked."""
-    own = pdf.sid == pdf.probe
-    sets = [_unpacked_set(s) for s in pdf["set"][~own]]
-    if not own.any() or not sets:
-        return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-    probe = _unpacked_set(pdf["set"][own].iloc[0])
-    others = pdf.sid[~own].to_numpy()
-    hits = PrefixTree.build(sets).similar(probe)
-    return pd.DataFrame({"a": pdf.probe.iloc[0], "b": others[hits]}).astype("int64")
+    many, apart = np.flatnonzero(~split), np.flatnonzero(split)
+    many = many[np.lexsort((sizes[many], sums[1, many], sums[0, many]))]
+    unlike = np.r_[True, (sums[:, many[1:]] != sums[:, many[:-1]]).any(axis=0) | (sizes[many[1:]] != sizes[many[:-1]])][: len(many)]
+    first = np.flatnonzero(unlike)
+    lists = np.r_[many[first], apart]
+    n_grams = np.r_[np.diff(np.r_[first, len(many)]), np.ones(len(apart), np.int64)]
+    lo, size, gram = starts[lists], sizes[lists], grams[starts[lists]]
+    sig, sig2 = (np.where(split[lists], x, _mix(sums[i, lists] ^ size.astype(np.uint64))).astype(np.int64) for i, x in enumerate((_mix(gram), gram)))
+    hub = lo + size // 2  # the middle by size
+    parts = -(-size // LIST_ROWS)
+    of = np.repeat(np.arange(len(lists)), parts)
+    part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = lo[of] + part * LIST_ROWS
+    held = np.minimum(LIST_ROWS, lo[of] + size[of] - at)
+    ends, done = np.cumsum(held), 0
+    while done < len(of):
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 18), "right")))
+        o, offsets = of[done:to], np.r_[0, np.cumsum(held[done:to])]
+        members = np.arange(offsets[-1]) + np.repeat(at[done:to] - offsets[:-1], held[done:to])
+        columns = [sig[o], sig2[o], (pieces[lo[o]] << 32) + part[done:to], split[lists][o], n_grams[o].astype(np.int32), sids[hub[o]], ns[hub[o]]]
+        packed = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x[members])) for x in (sids, ns)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *packed], names=[x.split()[0] for x in LISTS.split(", ")])
+        done = to
+
+
+def _linked(probe: int, rows: list[tuple[int, bytes]]) -> list[int]:
+    """Which of a group's sets (sid, set), the probe's among them, are linked to the probe."""
+    own = next((s for sid, s in rows if sid == probe), None)
+    others = [(sid, _unpacked_set(s)) for sid, s in rows if sid != probe]
+    if own is None or not others:
+        return []
+    return [others[i][0] for i in PrefixTree.build([s for _, s in others]).similar(_unpacked_set(own))]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (probe, part, sid, set), ordered by probe and part, to the pairs (a, b) that are linked; one group is held at a time."""
+    held, key = [], None
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        found = []
+        for probe, part, sid, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if (probe, part) != key:
+                if held:
+                    found += [(key[0], x) for x in _linked(key[0], held)]
+                key, held = (probe, part), []
+            held.append((sid, data))
+        yield pairs(found)
+    if held:
+        yield pairs([(key[0], x) for x in _linked(key[0], held)])
 
 
 def _filter_bits(keys: DataFrame) -> dict[int, bytes]:
@@ -381,6 +435,7 @@ def _sets_of(known, bits):
         from xxhash import xxh64_intdigest
 
         (frequent, clashing), pieces = known.value, bits.value
+        in_order = ordering(frequent)
 
         def may_have(key: int) -> bool:
             h = xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) % FILTER_BITS
@@ -389,13 +444,14 @@ def _sets_of(known, bits):
 
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                if doc_id is not None and not may_have(doc_id):
-                    continue
-                if len(s := shingles(text)):
+            ids = b.column(0).to_pylist()
+            wanted = [i for i, doc_id in enumerate(ids) if doc_id is None or may_have(doc_id)]
+            for i, s in zip(wanted, _shingled(b.column(1).take(pa.array(wanted, pa.int64()))), strict=True):
+                doc_id = ids[i]
+                if len(s):
                     sid = _named(s, clashing)
                     if doc_id is not None or may_have(sid):
-                        out.append((sid if doc_id is None else doc_id, sid, len(s), _packed_set(ordered(s, frequent))))
+                        out.append((sid if doc_id is None else doc_id, sid, len(s), _packed_set(in_order(s))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "sid", "n", "set"])
 
@@ -444,7 +500,8 @@ def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, known, name:
     bits = pairs.sparkSession.sparkContext.broadcast(_filter_bits(rows.select("key").distinct()))
     sets = texts.mapInArrow(_sets_of(known, bits), "key long, sid long, n int, set binary")
     whole = rows.join(sets.select("key", "sid", "set"), ["key", "sid"])
-    found = materialise(whole.groupBy("probe", "part").applyInPandas(_verify, "a long, b long"), name)
+    groups = whole.select("probe", "part", "sid", "set").repartition("probe", "part").sortWithinPartitions("probe", "part")
+    found = materialise(groups.mapInArrow(_links, "a long, b long"), name)
     discard(rows)
     return found
 

@@ -7,12 +7,14 @@ Host verdicts are joined back to the documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from heddle.llm.common import SPACES, append_columns, looked_up, materialise
+from heddle.llm.common import EXACT, ODD, SPACES, append_columns, bounded_bytes, looked_up, materialise, mix_bits, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -28,8 +30,8 @@ def _repeated(words: list) -> int:
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    numbers: dict = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     at, codes = np.arange(n), ids[:n]
     for k in range(1, WINDOW):
         codes = codes * len(numbers) + ids[at + k]
@@ -47,20 +49,40 @@ def _repeated(words: list) -> int:
     return int(marked.sum())
 
 
-def counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """COUNTS of one text; none of a null text."""
+def _may_repeat(texts: list[bytes]) -> Iterator[bool]:
+    """For each text, if two of its windows have one hash: where none have, none are equal."""
+    ends = np.cumsum([0, *map(len, texts)])
+    for lo, hi in bounded_bytes(ends):
+        h, at = word_hashes(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends[lo : hi + 1] - ends[lo], EXACT)
+        windows = np.zeros(max(0, len(h) - WINDOW + 1), np.uint64)
+        for i in range(WINDOW):
+            windows += h[i : i + len(windows)] * ODD[i]
+        windows = mix_bits(windows)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            ranked = np.sort(windows[a : max(a, b - WINDOW + 1)])
+            yield bool((ranked[1:] == ranked[:-1]).any())
+
+
+def counts(text: str | None, may_repeat: bool = True) -> tuple[int, int, int, int, int]:
+    """COUNTS of one text; none of a null text. Unless `may_repeat`, no window is looked for."""
     if not text:
         return 0, 0, 0, 0, 0
     words = text.encode("utf-8", "surrogatepass").split()
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), _repeated(words)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), _repeated(words) if may_repeat else 0
+
+
+def _counts_of(texts: list[str | None]) -> Iterator[tuple]:
+    """COUNTS of texts, a column each."""
+    again = _may_repeat([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    return zip(*map(counts, texts, again), strict=True) if texts else iter([[]] * len(COUNTS))
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the columns COUNTS appended (taking the place of columns so named)."""
-    return append_columns(docs, [text_col], [StructField(c, LongType()) for c in COUNTS], lambda: lambda texts: zip(*map(counts, texts), strict=True) if texts else [[]] * len(COUNTS))
+    return append_columns(docs, [text_col], [StructField(c, LongType()) for c in COUNTS], lambda: _counts_of)
 
 
 def base_failed(min_words: int = 10, max_repeat_percent: int = 20):

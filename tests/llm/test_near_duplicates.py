@@ -50,6 +50,49 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
 
 
+def test_shingles_of_many_texts_at_once():
+    """Texts hashed together have the n-grams that each has alone, those of its own words, whatever stands beside it."""
+    words = ["a", "B", "b", "\x00", "é", "É", "w" * 32, "w" * 33, "W" * 33, "w" * 300, "x"]
+    texts = [None, "", " ", "a", "a ", " A\x0bb", "a b c d", "a b c d e", "A b c\nd e", "a b c d e f", "f", "w" * 70_000 + " a b c d"]
+    texts += [RNG.choice(["", " ", "\n"]).join([RNG.choice([" ", "  ", "\t"]).join(RNG.choice(words) for _ in range(RNG.randrange(1, 40)))] * 2) for _ in range(400)]
+    lower = lambda w: w.encode().lower()
+    names: dict = {}
+    for column in (pa.array(texts), pa.array(["q", *texts, "r"], pa.large_string()).slice(1, len(texts))):
+        sets = list(ngram_join._shingled(column))
+        assert len(sets) == len(texts)
+        for t, got in zip(texts, sets, strict=True):
+            w = [lower(x) for x in "".join(" " if c in common.SPACES else c for c in t or "").split(" ") if x]
+            want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            assert len(got) == len(want) and (got == ngram_join.shingles(t)).all() and (np.diff(got.astype(np.int64)) > 0).all()
+            for g in want:
+                names.setdefault(g, set()).update(ngram_join.shingles(b" ".join(g).decode()).tolist())
+            assert {x for g in want for x in names[g]} == set(got.tolist())
+    assert all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == len(names)
+    assert list(ngram_join._shingled(pa.array([], pa.string()))) == []
+
+
+def test_lists_leave_out_members_that_can_have_no_link():
+    """Lists of chance, whose members are of unlike sizes, aren't made; pairs of like sizes share as many n-grams in lists as in their prefixes."""
+    rng = np.random.default_rng(6)
+    sizes = {sid: int(rng.choice([20, 30, 100, 120, 1000])) for sid in range(1, 60)}
+    prefixes = {sid: np.sort(rng.choice(200, 8, replace=False)).astype(np.uint64) for sid in sizes}
+    planes = ngram_join._planes
+    rows = [(np.array([sid]).tobytes(), planes(np.array([sizes[sid]], np.int32)), planes(np.array([8], np.int32)), planes(prefixes[sid])) for sid in sizes]
+    fit = lambda a, b: 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b])
+    shared: dict = {}
+    for row in (r for b in ngram_join._bucket_lists(rows) for r in b.to_pylist()):
+        assert row["hub"] in row["sids"] and row["sizes"] == [sizes[x] for x in row["sids"]]
+        assert all(any(fit(x, y) for y in row["sids"] if y != x) for x in row["sids"])
+        for pair in itertools.combinations(sorted(row["sids"]), 2):
+            shared[pair] = shared.get(pair, 0) + row["grams"]
+    for a, b in itertools.combinations(sizes, 2):
+        if fit(a, b):
+            assert shared.get((a, b), 0) == len(np.intersect1d(prefixes[a], prefixes[b]))
+    unlike = [r for r in rows if sizes[int.from_bytes(r[0], "little")] in (20, 1000)]
+    one_each = [next(r for r in unlike if sizes[int.from_bytes(r[0], "little")] == n)[:3] + (planes(np.arange(8, dtype=np.uint64)),) for n in (20, 1000)]
+    assert list(ngram_join._bucket_lists(one_each)) == []
+
+
 def test_packed_sets():
     """Sets and postings come back as they were, and what a shuffle's compression makes of them is smaller."""
     numbers = np.random.default_rng(3).integers(0, 1 << 58, 500, np.uint64)

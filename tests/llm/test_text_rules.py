@@ -34,6 +34,14 @@ def test_counts(text):
     assert quality_rules.counts(text) == _brute_counts(text)
 
 
+def test_counts_of_many_texts_look_for_windows_only_where_hashes_repeat():
+    words = ["a", "A", "é", "w" * 40]
+    texts = [None, "", "a b c d e a b c d e", "a b c d e A b c d e", *(" ".join(RNG.choice(words[: RNG.randrange(1, 5)]) for _ in range(RNG.randrange(1, 30))) for _ in range(300))]
+    assert list(zip(*quality_rules._counts_of(texts), strict=True)) == [quality_rules.counts(t) for t in texts]
+    encoded = [(t or "").encode() for t in texts]
+    assert [x for x, t in zip(quality_rules._may_repeat(encoded), texts, strict=True)] == [quality_rules.counts(t)[4] > 0 for t in texts]
+
+
 def test_repeats_of_very_long_texts():
     """A million words: all in a period, and all unlike but for two windows that overlap."""
     assert quality_rules._repeated([b"a", b"b", b"c"] * 400_000) == 1_200_000
