@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import glob
+import re
+import tempfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from heddle.session import remove
+
 BODY = "table string, rows array<struct<key: string, value: string>>"
 
 
@@ -76,14 +85,69 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
+#: Rows of a database, at most, that an executor restores at once.
+DATABASE_ROWS = 1_000_000
+
+
+def _databases(df: DataFrame, path: str) -> list[str]:
+    """`df` in embedded databases of some DATABASE_ROWS rows each: their URLs.
+
+    An embedded database is of one process, so the driver loads each from files of a range of keys and
+    leaves a copy below `path`, a folder that all machines have mounted; an executor's URL restores the
+    copy to its own working folder when it first reads it. In the driver that name is an empty database,
+    which is asked for the columns alone.
+    """
+    spark, key = df.sparkSession, df.columns[0]
+    jvm, at = spark._jvm, unquote(urlparse(path).path)
+    if urlparse(path).scheme not in ("", "file"):
+        raise ValueError(f"an embedded database needs a folder that is mounted: {path}")
+    if jvm.java.lang.System.getProperty("derby.system.home") is None:  # where relative names are
+        jvm.java.lang.System.setProperty("derby.system.home", tempfile.mkdtemp(prefix="heddle-"))
+    parts = -(-df.count() // DATABASE_ROWS) or 1
+    times = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "dateFormat": "yyyy-MM-dd"}
+    dealt = df.repartitionByRange(parts, key)
+    dealt.write.options(escape='"', **times).csv(f"{path}/rows")
+    types = ", ".join(f"{f.name} varchar(200)" for f in df.schema.fields if f.dataType.simpleString() == "string")
+    base = at.rstrip("/").rsplit("/", 1)[-1]
+    none = df.limit(0)
+
+    def end(url: str) -> None:
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true").close()
+        except Py4JJavaError as e:  # how a shutdown that succeeds is told
+            if e.java_exception.getSQLState() != "08006":
+                raise
+
+    def load(i: int, file: str) -> str:
+        name = f"rows-{base}-{i}"
+        for url in (f"jdbc:derby:{name}", f"jdbc:derby:load-{name}"):
+            none.write.option("createTableColumnTypes", types).jdbc(f"{url};create=true", "T", mode="overwrite")
+        c = jvm.java.sql.DriverManager.getConnection(url)
+        for call, value in (("SYSCS_UTIL.SYSCS_IMPORT_TABLE(null, 'T', ?, ',', '\"', 'UTF-8', 0)", file), ("SYSCS_UTIL.SYSCS_BACKUP_DATABASE(?)", f"{at}/copies/{i}")):
+            s = c.prepareCall(f"CALL {call}")
+            s.setString(1, value)
+            s.execute()
+            s.close()
+        c.close()
+        end(url)
+        remove(spark, f"file://{jvm.java.lang.System.getProperty('derby.system.home')}/load-{name}")
+        return f"jdbc:derby:{name};createFrom={at}/copies/{i}/load-{name}"
+
+    files = sorted(glob.glob(f"{at}/rows/part-*"))
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(load, range(len(files)), files))
+
+
 def round_trip(df: DataFrame, kind: str, path: str) -> DataFrame:
-    """`df` written as `kind` below `path` (JDBC: to an embedded database in memory, in the driver's process) and read back."""
+    """`df` written as `kind` below `path` and read back; JDBC: to an embedded database, in memory on a local master, else by `_databases`."""
     spark = df.sparkSession
     if kind == "arrow":
         uri = path if "://" in path or path.startswith("/") else f"/{path}"
         written = write_arrow(df, uri)
         written.write.parquet(f"{path}-files")
         return read_arrow(spark.read.parquet(f"{path}-files"), df.schema)
+    if kind == "jdbc" and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return functools.reduce(DataFrame.union, [spark.read.jdbc(url, "T") for url in _databases(df, path)]).toDF(*df.columns)
     if kind == "jdbc":
         url, name = f"jdbc:derby:memory:{path.rstrip('/').rsplit('/', 1)[-1]};create=true", "T"
         low, high = df.agg(F.min(df.columns[0]), F.max(df.columns[0])).first()
