@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +22,34 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(chord))
 
 
+def _metres(lon1: float | None, lat1: float | None, lon2: float | None, lat2: float | None) -> float | None:
+    if None in (lon1, lat1, lon2, lat2):
+        return None
+    if not all(map(math.isfinite, (lon1, lat1, lon2, lat2))):
+        return math.nan
+    rad, sin, cos = math.radians, math.sin, math.cos
+    chord = math.pow(sin(rad(lat2 - lat1) / 2), 2) + cos(rad(lat1)) * cos(rad(lat2)) * math.pow(sin(rad(lon2 - lon1) / 2), 2)
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(chord)))
+
+
+def library_haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """haversine by the C library's functions, as SQL engines in C take them: the JVM's differ from them in the last bits, which texts show."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array([_metres(*x) for x in zip(*(v.to_pylist() for v in (a, b, c, d)))], pa.float64())
+
+    return run(*(x.cast("double") for x in (lon1, lat1, lon2, lat2)))
+
+
 def distance_text(metres: Column, unit: str = "m") -> Column:
-    """A distance with four decimals in m, km, mi or ft."""
-    return F.format_string("%.4f", metres / UNITS[unit.lower()])
+    """A distance with four decimals in m, km, mi or ft, rounded by its exact binary value, as C does, not by its shortest decimal one."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.4f}" for v in x.to_pylist()], pa.string())
+
+    return run((metres / UNITS[unit.lower()]).cast("double"))
 
 
 def _cell(value: Column, low: float, high: float, bits: int) -> Column:

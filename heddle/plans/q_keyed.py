@@ -467,5 +467,6 @@ def exec_batch(spark, d):
 
 @query(f"SELECT member, format('{{:.4f}}', {_H15}) AS m, format('{{:.4f}}', {_H15} / 1000) AS km, format('{{:.4f}}', {_H15} / 1609.344) AS mi, format('{{:.4f}}', {_H15} / 0.3048) AS ft FROM {_P}")
 def geo_distance_units(spark, d):
-    metres = geo.haversine(F.lit(13.3), F.lit(38.1), F.col("lon"), F.col("lat"))
-    return points(spark, d).select("member", *[geo.distance_text(metres, u).alias(u) for u in ("m", "km", "mi", "ft")])
+    metres = geo.library_haversine(F.lit(13.3), F.lit(38.1), F.col("lon"), F.col("lat"))
+    p = points(spark, d).select("member", metres.alias("metres"))
+    return p.select("member", *[geo.distance_text(F.col("metres"), u).alias(u) for u in ("m", "km", "mi", "ft")])

@@ -182,6 +182,17 @@ def test_positions(spark):
     assert spark.range(1).select(geo.distance_text(F.lit(1500.0), "km").alias("t")).first().t == "1.5000"
 
 
+def test_distance_texts_round_as_c(spark):
+    d = spark.createDataFrame([(51.86 - 180, -19.44), (41832673.62435 * 0.3048, None), (None, 1.0)], "lon double, lat double")
+    texts = [r.t for r in d.where("lat is null").select(geo.distance_text(F.col("lon"), "ft").alias("t")).collect()]
+    assert texts == ["%.4f" % (41832673.62435 * 0.3048 / 0.3048)] and texts[0] == "41832673.6243"
+    at = lambda k: ((k * 7919) % 36000 / 100.0 - 180, (k * 104729) % 16000 / 100.0 - 80)
+    far = spark.createDataFrame([at(14640), at(39717)], "lon double, lat double").select(geo.library_haversine(F.lit(13.3), F.lit(38.1), F.col("lon"), F.col("lat")).alias("m"))
+    got = far.select(geo.distance_text(F.col("m")).alias("m"), geo.distance_text(F.col("m"), "ft").alias("ft")).collect()
+    assert [tuple(r) for r in got] == [("13079139.1530", "42910561.5255"), ("11696667.9601", "38374894.8824")]
+    assert d.where("lon is null").select(geo.library_haversine(F.lit(0), F.lit(0), F.col("lon"), F.col("lat")).alias("m")).select(geo.distance_text(F.col("m")).alias("t")).first().t is None
+
+
 def test_vectors(spark, tmp_path):
     v = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("bad", [float("nan"), 1.0]), ("zero", [0.0, 0.0]), ("long", [1.0, 0.0, 0.0])], "vec_id string, embedding array<float>")
     assert [tuple(r) for r in search.exact_search(v, [3.0, 4.0], 5).collect()] == [("y", 0.8), ("x", 0.6)]
