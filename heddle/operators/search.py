@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import vectors
 from heddle.functions.text import tokens
+from heddle.session import remove
 
 
 def clamp_k(k: int) -> int:
@@ -93,11 +94,92 @@ def exact_search(space: DataFrame, query: list[float], k: int, id_col: str = "ve
     return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
 
 
+#: Queries and vectors, at most, that are compared at once, and pairs whose exact scores are taken at once.
+BLOCK_QUERIES, BLOCK_VECTORS, BLOCK_PAIRS = 1024, 8192, 1 << 16
+
+
+class _Best:
+    """The k best (score, id) of each query among the vectors offered so far.
+
+    Blocks are compared in single precision; pairs that could be among the best by it, within its error,
+    get their exact scores, so that the result is that of double precision throughout.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, digits: int):
+        self.queries, self.single, self.k, self.digits = queries, queries.astype(np.float32), k, digits
+        self.score, self.ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), "", object)
+        self.error = 2e-7 * max(1, queries.shape[1])
+
+    def offer(self, rows: np.ndarray, vectors: np.ndarray, names: np.ndarray) -> None:
+        """Vectors in single precision, with their ids, to the queries at `rows`."""
+        for v in range(0, len(vectors), BLOCK_VECTORS):
+            for q in range(0, len(rows), BLOCK_QUERIES):
+                self._block(rows[q : q + BLOCK_QUERIES], vectors[v : v + BLOCK_VECTORS], names[v : v + BLOCK_VECTORS])
+
+    def _block(self, rows: np.ndarray, vectors: np.ndarray, names: np.ndarray) -> None:
+        near, low = self.single[rows] @ vectors.T, self.score[rows, -1]
+        new = np.isneginf(low)
+        if new.any() and len(vectors) > self.k:
+            low[new] = np.partition(near[new], len(vectors) - self.k, axis=1)[:, -self.k] - self.error
+        r, c = np.nonzero(near >= (low - self.error - 10.0**-self.digits)[:, None])
+        if not len(r):
+            return
+        score = np.concatenate([np.einsum("ij,ij->i", self.queries[rows[r[i : i + BLOCK_PAIRS]]], vectors[c[i : i + BLOCK_PAIRS]].astype(float)) for i in range(0, len(r), BLOCK_PAIRS)])
+        score = np.round(score, self.digits)
+        kept = score >= np.round(low - self.error, self.digits)[r]
+        r, c, score = r[kept], c[kept], score[kept]
+        met = np.unique(r)
+        held = np.repeat(met, self.k)
+        r, score, ids = np.concatenate([r, held]), np.concatenate([score, self.score[rows[met]].ravel()]), np.concatenate([names[c], self.ids[rows[met]].ravel()])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, r))
+        first = np.searchsorted(r[order], met)
+        best = order[first[:, None] + np.arange(self.k)]  # each query holds k entries already
+        self.score[rows[met]], self.ids[rows[met]] = score[best], ids[best]
+
+    def found(self, asked: list):
+        import pyarrow as pa
+
+        for i in range(0, len(asked), BLOCK_QUERIES):
+            r, c = np.nonzero(~np.isneginf(self.score[i : i + BLOCK_QUERIES]))
+            columns = [pa.array([asked[i + x] for x in r], pa.int64()), pa.array(self.ids[i + r, c].tolist(), pa.string()), pa.array(self.score[i + r, c])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "id", "score"])
+
+
+def _live(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of an Arrow column's vectors are valid in the space, and those at unit length in single precision, as vectors.valid and vectors.normalised."""
+    import pyarrow.compute as pc
+
+    right = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    v = column.filter(right).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)  # a null part is NaN here
+    good = np.isfinite(v).all(1) & (v != 0).any(1)
+    rows, v = np.nonzero(right.to_numpy(zero_copy_only=False))[0][good], v[good]
+    return rows, (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
+
+
+def _spread(space: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector) over many tasks, before anything is computed of them."""
+    return space.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector")).repartition(_tasks(space.sparkSession))
+
+
+_FOUND = "query long, id string, score double"
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Over how many tasks the comparison of vectors is spread, however few files they come in."""
+    return max(12, 2 * spark.sparkContext.defaultParallelism)
+
+
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("r", best).where(F.col("r") <= k).drop("r")
+
+
 def exact_search_all(space: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 5, dim: int = 64) -> DataFrame:
-    """exact_search for a set of queries (query, vector), a few thousand at most: (query, id, score).
+    """exact_search for a set of queries (query, vector), some ten thousand at most: (query, id, score).
 
-    The queries go to all tasks as one matrix; each batch of vectors is compared with it and only its
-    own best k of each query leave the task.
+    The queries go to all tasks as one matrix; blocks of them are compared with blocks of vectors, and only
+    a task's own best k of each query leave it. The work is that of all pairs, dealt over the tasks; memory
+    is that of the queries, their best and one block.
     """
     spark, k = queries.sparkSession, clamp_k(k)
     asked = queries.where(vectors.valid(F.col("vector"), dim)).select("query", vectors.normalised(F.col("vector")).alias("v")).toArrow()
@@ -105,22 +187,15 @@ def exact_search_all(space: DataFrame, queries: DataFrame, k: int, id_col: str =
     told = spark.sparkContext.broadcast((ids, matrix))
 
     def run(batches):
-        import pyarrow as pa
-
         ids, matrix = told.value
+        best = _Best(matrix, k, digits)
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            unit = b.column(1).values.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :dim].astype(float)
-            score, names = np.round(matrix @ unit.T, digits), np.array(b.column(0).to_pylist(), object)
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(names)), score.shape), -score), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            at = order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(names[at].tolist(), pa.string()), pa.array(score[rows, at])], names=["query", "id", "score"])
-
-    live = space.where(vectors.valid(F.col(vector_col), dim)).select(F.col(id_col).cast("string").alias("id"), vectors.normalised(F.col(vector_col)).alias("unit"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return live.mapInArrow(run, "query long, id string, score double").withColumn("r", best).where(F.col("r") <= k).drop("r")
+            rows, unit = _live(b.column(1), dim)
+            if len(rows) and len(ids):
+                best.offer(np.arange(len(ids)), unit, np.array(b.column(0).to_pylist(), object)[rows])
+        yield from best.found(ids)
+
+    return _k_best(_spread(space, id_col, vector_col).mapInArrow(run, _FOUND), k)
 
 
 #: Below so many live vectors a partition an index would compare them all anyway.
@@ -131,6 +206,23 @@ CENTRE_SAMPLE, PROBE_SAMPLE, PROBE_QUERIES = 50_000, 20_000, 200
 RECALL = 0.97
 
 
+def _units(points: np.ndarray) -> np.ndarray:
+    return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+
+
+def _centres(points: np.ndarray, lists: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means of unit vectors from seeded points of theirs, in blocks; a centre that draws nothing stays."""
+    centres = points[np.random.default_rng(seed).permutation(len(points))[:lists]].astype(float)
+    for _ in range(rounds):
+        single = _units(centres).astype(np.float32)
+        at = np.concatenate([(points[i : i + BLOCK_VECTORS] @ single.T).argmax(1) for i in range(0, len(points), BLOCK_VECTORS)])
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(centres) + 1))
+        for c in np.nonzero(first[1:] > first[:-1])[0]:
+            centres[c] = points[order[first[c] : first[c + 1]]].mean(0, dtype=float)
+    return _units(centres)
+
+
 def _share_to_probe(points: np.ndarray, centres: np.ndarray) -> float:
     """The least share of the lists, in sixteenths, in which PROBE_QUERIES of the points find RECALL of their ten nearest."""
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
@@ -154,25 +246,39 @@ def write_vector_index(space: DataFrame, path: str, dim: int, id_col: str = "vec
     normalised once and go to the list of their nearest centre. Where directions are spread evenly that
     share is large, and with it the cost; where they lie in groups it is small.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     spark = space.sparkSession
-    live = space.where(vectors.valid(F.col(vector_col), dim)).select(F.col(id_col).cast("string").alias("id"), vectors.normalised(F.col(vector_col)).alias("unit"))
+
+    def normalise(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows, unit = _live(b.column(1), dim)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dim), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), parts], names=["id", "unit"])
+
+    _spread(space, id_col, vector_col).mapInArrow(normalise, "id string, unit array<float>").write.parquet(f"{path}/units")
+    live = spark.read.schema("id string, unit array<float>").parquet(f"{path}/units")
     n = live.count()
-    lists = max(2, round(n**0.5))
-    at = live.withColumn("point", array_to_vector(F.col("unit").cast("array<double>")))
-    sampled = lambda most: at if n <= most else at.sample(most / n, seed=seed)
-    model = KMeans(k=lists, maxIter=10, seed=seed, featuresCol="point", predictionCol="list", distanceMeasure="cosine").fit(sampled(CENTRE_SAMPLE).select("point")) if n else None
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())] if model else []
+    sampled = live if n <= CENTRE_SAMPLE else live.sample(CENTRE_SAMPLE / n, seed=seed)
+    points = sampled.select("unit").limit(2 * CENTRE_SAMPLE).toArrow()["unit"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    fitted = _centres(points, max(2, round(n**0.5)), seed) if n else np.zeros((0, dim))
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(fitted)]
     spark.createDataFrame(centres, "list int, centre array<double>").write.parquet(f"{path}/centres")
-    share = 1.0
-    if model:
-        points = sampled(PROBE_SAMPLE).select("unit").limit(2 * PROBE_SAMPLE).toArrow()["unit"].combine_chunks()
-        share = _share_to_probe(points.values.to_numpy().reshape(-1, dim).astype(float), np.array([c for _, c in centres]))
+    share = _share_to_probe(points[np.random.default_rng(seed).permutation(len(points))[:PROBE_SAMPLE]].astype(float), fitted) if n else 1.0
     spark.createDataFrame([(n, dim, share)], "n long, dim int, share double").write.parquet(f"{path}/stats")
-    placed = model.transform(at).select("list", "id", "unit") if model else at.select(F.lit(0).alias("list"), "id", "unit")
+    told = spark.sparkContext.broadcast(_units(fitted))
+
+    def place(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            unit = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim).astype(float)
+            near = [(unit[i : i + BLOCK_QUERIES] @ told.value.T).argmax(1) for i in range(0, b.num_rows, BLOCK_QUERIES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, int), *near]), pa.int32()), *b.columns], names=["list", "id", "unit"])
+
+    placed = live.repartition(_tasks(spark)).mapInArrow(place, "list int, id string, unit array<float>")
     placed.repartitionByRange("list", "id").sortWithinPartitions("list", "id").write.parquet(f"{path}/vectors")
+    remove(spark, f"{path}/units")
     return path
 
 
@@ -203,19 +309,50 @@ def _probes(stats, ef: int) -> int:
 
 
 def index_nearest_all(queries: DataFrame, path: str, k: int, ef: int = 64, digits: int = 5) -> DataFrame:
-    """The same for a set of queries (query, vector): (query, id, score), always by lists. Queries meet the centres, and their lists' vectors in one join on the list."""
+    """The same for a set of queries (query, vector), as many as exact_search_all takes: (query, id, score), always by lists.
+
+    Queries are given their lists in tasks, and go to all tasks as a matrix with a bit for each list; each
+    list's vectors are compared with the queries that have it.
+    """
     spark, k = queries.sparkSession, clamp_k(k)
     stats = spark.read.schema("n long, dim int, share double").parquet(f"{path}/stats").first()
-    centres = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres")
+    dim, probes = stats.dim, _probes(stats, ef)
+    stored = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres").orderBy("list").toArrow()  # the square root of the vectors
+    lists, centres = np.array(stored["list"].to_pylist(), np.int64), _units(np.array(stored["centre"].to_pylist(), float).reshape(-1, dim))
+    told_centres = spark.sparkContext.broadcast(centres)
+
+    def choose(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK_QUERIES):
+                part = b.slice(i, BLOCK_QUERIES)
+                unit = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim).astype(float)
+                near, has = np.argsort(-(unit @ told_centres.value.T), axis=1, kind="stable")[:, :probes], np.zeros((part.num_rows, len(told_centres.value)), bool)
+                np.put_along_axis(has, near, True, 1)
+                bits = pa.array([x.tobytes() for x in np.packbits(has, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bits], names=["query", "v", "lists"])
+
+    asked = queries.where(vectors.valid(F.col("vector"), dim)).select(F.col("query").cast("long").alias("query"), vectors.normalised(F.col("vector")).alias("v"))
+    asked = asked.mapInArrow(choose, "query long, v array<float>, lists binary").toArrow()
+    bits = np.frombuffer(b"".join(asked["lists"].to_pylist()), np.uint8).reshape(asked.num_rows, -1) if asked.num_rows else np.zeros((0, 1), np.uint8)
+    told = spark.sparkContext.broadcast((asked["query"].to_pylist(), np.array(asked["v"].to_pylist(), float).reshape(-1, dim), bits, lists))
+
+    def run(batches):
+        ids, matrix, bits, lists = told.value
+        best = _Best(matrix, k, digits)
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            at = b.column(0).to_numpy()
+            unit, names = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim), np.array(b.column(1).to_pylist(), object)
+            for x in np.unique(at):
+                here, i = at == x, int(np.searchsorted(lists, x))
+                best.offer(np.nonzero(bits[:, i >> 3] >> (7 - (i & 7)) & 1)[0], unit[here], names[here])
+        yield from best.found(ids)
+
     rows = spark.read.schema("list int, id string, unit array<float>").parquet(f"{path}/vectors")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.where(vectors.valid(F.col("vector"), stats.dim)).select("query", vectors.normalised(F.col("vector")).alias("v"))
-    met = asked.crossJoin(F.broadcast(centres)).select("query", "v", "list", (dot(F.col("v"), F.col("centre")) / vectors.norm(F.col("centre"))).alias("s"))  # centres: the square root of the vectors
-    nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "list"))
-    chosen = met.withColumn("r", nearest).where(F.col("r") <= _probes(stats, ef)).select("query", "v", "list")
-    scored = rows.join(chosen, "list").select("query", "id", F.round(dot(F.col("v"), F.col("unit")), digits).alias("score"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("r", best).where(F.col("r") <= k).drop("r")
+    return _k_best(rows.repartitionByRange(_tasks(spark), "list", "id").sortWithinPartitions("list").mapInArrow(run, _FOUND), k)
 
 
 def latest_vectors(writes: DataFrame, id_col: str, seq_col: str, vector_col: str) -> DataFrame:

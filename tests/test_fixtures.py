@@ -214,6 +214,20 @@ def test_vectors(spark, tmp_path):
     assert spark.range(1).select(vectors.norm(F.array(F.lit(3.0), F.lit(4.0))).alias("n")).first().n == 5
 
 
+def test_vector_batches_by_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 50)
+    many = spark.range(5000).select(F.col("id").cast("string").alias("vec_id"), F.array(*[F.sin(F.col("id") % 4900 * (i + 1) * 0.7) for i in range(16)]).cast("array<float>").alias("embedding"))
+    path = search.write_vector_index(many, f"{tmp_path}/many", 16)
+    asked = many.where("cast(vec_id as long) % 500 = 1").select(F.col("vec_id").cast("long").alias("query"), F.col("embedding").alias("vector"))
+    all_, near = search.exact_search_all(many, asked, 10, dim=16), search.index_nearest_all(asked, path, 10)
+    assert "Join" not in near._jdf.queryExecution().toString()  # pairs are compared in blocks, not joined
+    q = many.where("vec_id = '1'").first().embedding
+    want = [tuple(r) for r in search.exact_search(many, q, 10).collect()]
+    assert sorted((r.id, r.score) for r in all_.where("query = 1").collect()) == sorted(want)
+    assert {"1", "4901"} <= {r.id for r in near.where("query = 1").collect()}
+
+
 def test_text_index(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "the quick brown fox"), ("d2", "lorem ipsum dolor the"), ("b", "equal score"), ("a", "equal score"), ("n", None)], "doc_id string, text string")
     path = search.write_text_index(docs, f"{tmp_path}/t", buckets=3)
