@@ -282,19 +282,19 @@ def write_vector_index(space: DataFrame, path: str, dim: int, id_col: str = "vec
     return path
 
 
-def index_nearest(spark: SparkSession, path: str, query: list[float], k: int, ef: int = 64, partitions: int = 1, digits: int = 5) -> DataFrame:
+def index_nearest(spark: SparkSession, path: str, query: list[float], k: int, ef: int = 64, partitions: int = 1, digits: int = 5, whole: bool = False) -> DataFrame:
     """Approximate nearest neighbours by an index: the lists whose centres are nearest are read and ranked exactly.
 
     They are the share of the lists that the index was built to need, and at least as many as hold about
     max(k, ef) vectors. A space of at most min(ef * M * 2, EXACT_BELOW) vectors a partition (M is 32 from 64
-    dimensions on, else 16) is searched whole.
+    dimensions on, else 16) is searched whole, and with `whole` one of any size, so that the result is exact.
     """
     stats = spark.read.schema("n long, dim int, share double").parquet(f"{path}/stats").first()
     if len(query) != stats.dim or not any(query):
         raise ValueError("the query isn't a vector of the space")
     k, ef = clamp_k(k), min(256, max(clamp_k(k), ef))
     rows = spark.read.schema("list int, id string, unit array<float>").parquet(f"{path}/vectors")
-    if stats.n > min(ef * (32 if stats.dim >= 64 else 16) * 2, EXACT_BELOW) * partitions:
+    if not whole and stats.n > min(ef * (32 if stats.dim >= 64 else 16) * 2, EXACT_BELOW) * partitions:
         centres = spark.read.schema("list int, centre array<double>").parquet(f"{path}/centres")
         score = vectors.cosine_constant(F.col("centre"), query) / vectors.norm(F.col("centre"))
         chosen = centres.select("list", score.alias("s")).orderBy(F.desc("s"), "list").limit(_probes(stats, ef)).collect()  # at most the square root of the vectors

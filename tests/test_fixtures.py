@@ -228,6 +228,13 @@ def test_vector_batches_by_blocks(spark, tmp_path, monkeypatch):
     assert {"1", "4901"} <= {r.id for r in near.where("query = 1").collect()}
 
 
+def test_vector_index_searched_whole(spark, tmp_path):
+    many = spark.range(5000).select(F.col("id").cast("string").alias("vec_id"), F.array(*[F.sin(F.col("id") * (i + 1) * 0.7) for i in range(16)]).cast("array<float>").alias("embedding"))
+    path = search.write_vector_index(many, f"{tmp_path}/many", 16)
+    q = many.where("vec_id = '78'").first().embedding
+    assert search.index_nearest(spark, path, q, 100, whole=True).collect() == search.exact_search(many, q, 100).collect()
+
+
 def test_text_index(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "the quick brown fox"), ("d2", "lorem ipsum dolor the"), ("b", "equal score"), ("a", "equal score"), ("n", None)], "doc_id string, text string")
     path = search.write_text_index(docs, f"{tmp_path}/t", buckets=3)
