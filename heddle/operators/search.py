@@ -45,23 +45,60 @@ def text_search(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", tex
     return found.select("id", F.round(score, digits).alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
 
 
+#: Words that are counted and ordered at once; a text with more is by itself.
+RUN_WORDS = 2_000_000
+
+
+def _run(ids: list, words: list):
+    """Postings (term, id, tf) of some texts, in order of term and then text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words, ids = pa.chunked_array(words).combine_chunks(), pa.chunked_array(ids).combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    text = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    keys, tf = np.unique(rank[coded.indices.to_numpy()] * len(words) + text, return_counts=True)
+    terms = coded.dictionary.take(pa.array(order[keys // len(words)]))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(keys % len(words))), terms, pa.array(tf, pa.int64())], names=["id", "term", "tf"])
+
+
+def _runs(batches):
+    ids, words, n = [], [], 0
+    for b in batches:
+        lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        start = 0
+        for i, more in enumerate(lengths.tolist()):
+            if n and n + more > RUN_WORDS:
+                yield from _parts(_run([*ids, b.column(0).slice(start, i - start)], [*words, b.column(1).slice(start, i - start)]))
+                ids, words, n, start = [], [], 0, i
+            n += more
+        ids.append(b.column(0).slice(start))
+        words.append(b.column(1).slice(start))
+    if n:
+        yield from _parts(_run(ids, words))
+
+
+def _parts(run, rows: int = 65_536):
+    return (run.slice(i, rows) for i in range(0, run.num_rows, rows))
+
+
 def write_text_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> str:
-    """An inverted index below `path`: postings (bucket, term, id, tf), terms (bucket, term, df), stats (n).
+    """An inverted index below `path`: postings (id, term, tf), stats (n).
 
-    Postings are dealt by range of bucket, term and id, so that a word of all documents fills many files
-    and not one task, and are stored in folders by bucket, in order of term: a query reads its terms'
-    row groups of its terms' buckets. Documents are tokenised once, here.
+    Each task counts the words of its own texts and writes them in runs of RUN_WORDS words, ordered by
+    term: nothing is shuffled, spilled or sorted as a whole, and a query reads the pages of each run that
+    hold its terms. Rows that share an id are added up by the query. `buckets` has no effect any more.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = postings(docs, id_col, text_col).withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.schema(_POSTINGS).parquet(f"{path}/postings")
-    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
-    docs.agg(F.count(F.lit(1)).alias("n"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/stats")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), tokens(F.col(text_col)).alias("words"))
+    rows.mapInArrow(_runs, _POSTINGS).write.parquet(f"{path}/postings")
+    docs.agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/stats")
     return path
 
 
-_POSTINGS = "id string, term string, tf long, bucket int"
+_POSTINGS = "id string, term string, tf long"
 
 
 def index_search(spark: SparkSession, path: str, query: str, k: int, digits: int = 5) -> DataFrame:
@@ -70,16 +107,15 @@ def index_search(spark: SparkSession, path: str, query: str, k: int, digits: int
     words = {r.term: r.times for r in asked.collect()}  # the query's own words
     if not words:
         return spark.createDataFrame([], "id string, score double")
-    stats = spark.read.schema("n long, buckets int").parquet(f"{path}/stats").first()
-    places = {r.term: r.bucket for r in spark.createDataFrame([(w,) for w in words], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int").alias("bucket")).collect()}
-    here = F.col("bucket").isin(*set(places.values())) & F.col("term").isin(*words)
-    found = {r.term: r.df for r in spark.read.schema("bucket int, term string, df long").parquet(f"{path}/terms").where(here).collect()}  # a row a word
+    n = spark.read.schema("n long").parquet(f"{path}/stats").first().n
+    hits = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("term").isin(*words))
+    hits = hits.repartition("id").groupBy("id", "term").agg(F.sum("tf").alias("tf"))  # both groupings keep this dealing
+    found = {r.term: r.df for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row a word
     if not found:
         return spark.createDataFrame([], "id string, score double")
     weight = F.lit(0.0)
     for w, df in found.items():
-        weight = F.when(F.col("term") == w, F.lit(words[w] * math.log(1 + stats.n / (df + 0.5)))).otherwise(weight)
-    hits = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(here)
+        weight = F.when(F.col("term") == w, F.lit(words[w] * math.log(1 + n / (df + 0.5)))).otherwise(weight)
     scored = hits.groupBy("id").agg(F.sum(weight * F.col("tf") / (F.col("tf") + 1.2)).alias("score"))
     return scored.select("id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "id").limit(clamp_k(k))
 

@@ -1,5 +1,6 @@
 """Small fixtures with known answers for every family of operators."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,18 @@ def test_text_index(spark, tmp_path):
     assert search.index_search(spark, search.write_text_index(docs.limit(0), f"{tmp_path}/e"), "the", 5).count() == 0
 
 
+def test_text_index_runs(spark, tmp_path, monkeypatch):
+    """Runs of few words, rows that share an id, null ids and texts; the build has no shuffle but that of the count."""
+    docs = spark.createDataFrame([(f"d{i % 90}" if i % 13 else None, None if i % 17 == 0 else " ".join(["the"] * (i % 5) + [f"w{i % 7}", f"x{i}"])) for i in range(200)], "doc_id string, text string")
+    monkeypatch.setattr(search, "RUN_WORDS", 20)
+    path = search.write_text_index(docs, f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{path}/postings")
+    want = search.postings(docs, "doc_id", "text")
+    assert sorted(map(repr, stored.groupBy("id", "term").agg(F.sum("tf").alias("tf")).collect())) == sorted(map(repr, want.collect()))
+    runs = search._run([pa.array(["b", "a"])], [pa.array([["z", "y", "z"], ["y"]])])
+    assert runs.to_pydict() == {"id": ["b", "a", "b"], "term": ["y", "y", "z"], "tf": [1, 1, 2]}
+
+
 def test_text_search(spark):
     docs = spark.createDataFrame([("d1", "the quick brown fox"), ("d2", "lorem ipsum dolor"), ("b", "equal score"), ("a", "equal score"), ("n", None)], "doc_id string, text string")
     assert [r.id for r in search.text_search(docs, "quick fox", 5).collect()] == ["d1"]
