@@ -85,7 +85,8 @@ def segment_merge(spark, d):
     logs.write_segment(v.where("commit_ts >= 800"), path, 4, "delta")
     rows = logs.read_segments(spark, path)
     live = logs.live_segments(rows.select("segment_id", "kind").distinct())
-    return V.newest(rows.join(live.select("segment_id"), "segment_id", "left_semi").select("pk", "commit_ts", "value", "expires_at")).select("pk", "commit_ts")
+    rows = rows.join(live.select("segment_id"), "segment_id", "left_semi").select("pk", "commit_ts", "value", "expires_at")
+    return V.newest(rows.repartition(logs.parts(rows), "pk")).select("pk", "commit_ts")  # whole versions are ordered to be merged
 
 
 @query("SELECT event_id AS lsn, event_id // 8 AS commit_ts, event_type AS payload FROM events WHERE event_id > 300")
@@ -103,7 +104,7 @@ def archive_check(spark, d):
     """Of an archive with an object for each state, the one whose rows were changed is found, with the rows that it had."""
     path = _folder(spark)
     orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    logs.archive(orders.repartition(1, "o_orderstatus"), path, by="o_orderstatus")
+    logs.archive(orders.repartition("o_orderstatus"), path, by="o_orderstatus")
     assert logs.damaged(spark, path).isEmpty()
     remove(spark, f"{path}/objects/o_orderstatus=P")
     orders.where("o_orderstatus = 'P' and o_orderkey > 10").select("o_orderkey").coalesce(1).write.parquet(f"{path}/objects/o_orderstatus=P")

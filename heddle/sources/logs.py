@@ -23,11 +23,20 @@ def import_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(path)
 
 
+#: Rows, about, that a task orders at once.
+TASK_ROWS = 500_000
+
+
+def parts(rows: DataFrame) -> int:
+    """Into how many partitions rows are dealt, so that each holds about TASK_ROWS: adaptive execution doesn't join them again."""
+    return -(-rows.count() // TASK_ROWS) or 1
+
+
 def write_segment(rows: DataFrame, store: str, segment_id: int, kind: str, bloom_rows: int = 1_000_000) -> None:
     """An immutable sorted segment, kind snapshot, delta or compacted, with a Bloom filter on the key; a segment that is there is an error."""
     if kind not in ("snapshot", "delta", "compacted"):
         raise ValueError(kind)
-    out = rows.repartitionByRange("pk").sortWithinPartitions("pk", "commit_ts").write.mode("error")
+    out = rows.repartitionByRange(parts(rows), "pk").sortWithinPartitions("pk", "commit_ts").write.mode("error")
     out.option("parquet.bloom.filter.enabled#pk", "true").option("parquet.bloom.filter.expected.ndv#pk", str(bloom_rows)).parquet(f"{store}/segment_id={segment_id}/kind={kind}")
 
 
@@ -81,7 +90,13 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def archive(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Rows to an object store, with a manifest (file, rows, checksum) to tell later if an object has changed."""
-    (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/objects")
+    conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, str(max(int(before), 64)))  # a writer a value, up to so many, instead of a task's rows in order of `by`
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/objects")
+    finally:
+        conf.set(key, before)
     manifest(df.sparkSession, f"{path}/objects").write.parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 

@@ -244,6 +244,18 @@ def test_text_index(spark, tmp_path):
     assert search.index_search(spark, search.write_text_index(docs.limit(0), f"{tmp_path}/e"), "the", 5).count() == 0
 
 
+def test_segments_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from heddle.sources import logs
+
+    monkeypatch.setattr(logs, "TASK_ROWS", 10)
+    rows = spark.range(100).select(F.col("id").cast("string").alias("pk"), F.col("id").alias("commit_ts"), F.lit("v").alias("value"), F.lit(0).cast("long").alias("expires_at"))
+    logs.write_segment(rows, f"{tmp_path}/s", 1, "delta")
+    assert len(list((tmp_path / "s").rglob("part-*.parquet"))) > 5 and logs.read_segments(spark, f"{tmp_path}/s").count() == 100
+    logs.archive(rows.withColumn("g", F.col("commit_ts") % 3).repartition("g"), f"{tmp_path}/a", by="g")
+    assert len(list((tmp_path / "a/objects").rglob("part-*.parquet"))) == 3 and logs.damaged(spark, f"{tmp_path}/a").isEmpty()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_text_index_runs(spark, tmp_path, monkeypatch):
     """Runs of few words, rows that share an id, null ids and texts; the build has no shuffle but that of the count."""
     docs = spark.createDataFrame([(f"d{i % 90}" if i % 13 else None, None if i % 17 == 0 else " ".join(["the"] * (i % 5) + [f"w{i % 7}", f"x{i}"])) for i in range(200)], "doc_id string, text string")
